@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillworks.llm.cues import collapse_runs
+from quillworks.llm.mixing import mix_sources, share_report
+from quillworks.llm.packing import fill_report, pack_items
 from quillworks.llm.pieces import split_items
 
 
@@ -46,8 +48,30 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(_table(spark, d, "segments"), "document_id", "seq", "text", "start_time", "end_time").withColumnRenamed("entity", "document_id")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _table(spark, d, "size_limits").filter("unit = 'tokens'").collect()  # a table of three rows
+    return pack_items(_table(spark, d, "documents"), "doc_id", "text", {r["limit_name"]: int(r["capacity"]) for r in sizes})
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(_packed(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(_table(spark, d, "documents"), _table(spark, d, "mix_targets"), "doc_id", "text", "source").withColumnRenamed("item_id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = _table(spark, d, "mix_targets")
+    return share_report(mix_sources(_table(spark, d, "documents"), targets, "doc_id", "text", "source"), targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_runs)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_runs, p7_containers, p7_fill, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
