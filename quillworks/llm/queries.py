@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillworks.llm.cues import collapse_runs
+from quillworks.llm.encoding import repair_texts
+from quillworks.llm.lookalikes import normalize_texts, same_looking
 from quillworks.llm.mixing import mix_sources, share_report
 from quillworks.llm.packing import fill_report, pack_items
 from quillworks.llm.pieces import split_items
@@ -40,6 +42,19 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(_items(spark, d), ["tbl", "rec_id", "pos"], "text", limit, overlap)
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "extracted_docs").select(F.lit("extracted_docs").alias("tbl"), F.col("document_id").alias("rec_id"), "text")
+    return docs.unionByName(_table(spark, d, "web_articles").select(F.lit("web_articles").alias("tbl"), F.col("article_id").alias("rec_id"), F.col("title").alias("text")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking(_named(spark, d), "tbl", "rec_id", "text")
+
+
+def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return normalize_texts(_named(spark, d), ["tbl", "rec_id"], "text").dropDuplicates(["tbl", "rec_id"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(_table(spark, d, "segments"), "document_id", "seq", "text", "start_time", "end_time", repeated_only=True).select(F.col("entity").alias("document_id"), "first_seq", "last_seq")
 
@@ -48,6 +63,14 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(_table(spark, d, "segments"), "document_id", "seq", "text", "start_time", "end_time").withColumnRenamed("entity", "document_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text", only_suspicious=True).filter("garbled").select("document_id").distinct()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text").dropDuplicates(["document_id"])
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = _table(spark, d, "size_limits").filter("unit = 'tokens'").collect()  # a table of three rows
     return pack_items(_table(spark, d, "documents"), "doc_id", "text", {r["limit_name"]: int(r["capacity"]) for r in sizes})
@@ -71,7 +94,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_runs, p7_containers, p7_fill, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalized, p3_found, p3_runs, p5_found, p5_repaired, p7_containers, p7_fill, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
