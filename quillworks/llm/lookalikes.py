@@ -4,7 +4,7 @@ The form: compatibility widths and ligatures spelled out, accents composed with
 kind of space a plain space, invisible characters gone, and look-alike letters in the script that the
 rest of their word shows.  Letter case, accents, digits, punctuation and line breaks stay.
 
-Only space-free chunks that hold something irregular are worked on, each different chunk once: it is
+Only chunks (between spaces, line ends and ideographs) that hold something irregular are worked on, each different chunk once: it is
 exploded to positioned code points, these are joined with the decomposition and look-alike tables
 (built by rule from the Unicode database, so their size is fixed, and broadcast), combining marks are
 ordered by class, letters and marks recomposed, and the chunk rebuilt.  The rebuilt chunks then go
@@ -45,7 +45,8 @@ def _lone(doubles: str) -> str:
 
 
 #: Chunks to work on, by the text's main script: anything odd, or a word of another script's doubles.
-_CHUNK = {home: f"(?<![^ \\n])(?=[^ \\n]*?(?:{_ODD}|{_lone(d)}))[^ \\n]++" for home, d in (("L", _CYR_DOUBLES + _GRK_DOUBLES), ("C", _LAT_DOUBLES + _GRK_DOUBLES), ("G", _LAT_DOUBLES + _CYR_DOUBLES))}
+_PART = "[^ \\n、。\\u3400-\\u9fff]"
+_CHUNK = {home: f"(?<!{_PART})(?={_PART}*?(?:{_ODD}|{_lone(d)})){_PART}++" for home, d in (("L", _CYR_DOUBLES + _GRK_DOUBLES), ("C", _LAT_DOUBLES + _GRK_DOUBLES), ("G", _LAT_DOUBLES + _CYR_DOUBLES))}
 _ANY = f"[{_IRREGULAR}{_CYR}{_GRK}]"
 
 
@@ -107,11 +108,14 @@ def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataF
 
 
 def normal_chunks(chunks: DataFrame) -> DataFrame:
-    """``home, chunk, normal`` of different (home, chunk) rows."""
+    """``cid, normal`` of rows (cid, home, chunk) with different cid.
+
+    Code points carry the digest of their chunk, never the chunk, so a long chunk costs its length.
+    """
     deco, doubles, back, comp = _frames(chunks.sparkSession)
-    by = ["home", "chunk"]
-    cps = chunks.select(*by, F.posexplode(F.split("chunk", "")).alias("pos", "ch")).filter("ch <> ''")
-    cps = cps.join(deco, "ch", "left").select(*by, "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("to", "ch").alias("to"), F.coalesce("ccc", F.lit(0)).alias("ccc")).filter("to <> ''")
+    by = ["cid"]
+    cps = chunks.select(*by, "home", F.posexplode(F.split("chunk", "")).alias("pos", "ch")).filter("ch <> ''")
+    cps = cps.join(deco, "ch", "left").select(*by, "home", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.coalesce("to", "ch").alias("to"), F.coalesce("ccc", F.lit(0)).alias("ccc")).filter("to <> ''")
     script = F.when(F.col("to").rlike(f"[{_LAT}]"), "L").when(F.col("to").rlike(f"[{_CYR}]"), "C").when(F.col("to").rlike(f"[{_GRK}]"), "G")
     cps = cps.join(doubles, "to", "left").withColumn("script", script)
     w = W.partitionBy(*by).orderBy("pos", "sub")
@@ -151,9 +155,9 @@ def normalize_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     found = F.when(F.col("home") == "C", F.regexp_extract_all("text", F.lit(_CHUNK["C"]), F.lit(0))).when(F.col("home") == "G", F.regexp_extract_all("text", F.lit(_CHUNK["G"]), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_CHUNK["L"]), F.lit(0)))
     maybe = maybe.withColumn("chunks", found)
     odd = maybe.filter(F.size("chunks") > 0)
-    each = odd.select(*keys, "home", F.posexplode("chunks").alias("at", "chunk"))
-    normal = normal_chunks(each.select("home", "chunk").distinct())
-    back = each.join(normal, ["home", "chunk"], "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))
+    each = odd.select(*keys, "home", F.posexplode("chunks").alias("at", "chunk")).withColumn("cid", F.md5(F.concat("home", "chunk")))
+    normal = normal_chunks(each.select("cid", "home", "chunk").dropDuplicates(["cid"]))
+    back = each.drop("home", "chunk").join(normal, "cid", "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))
     between = F.when(F.col("home") == "C", F.split("text", _CHUNK["C"], -1)).when(F.col("home") == "G", F.split("text", _CHUNK["G"], -1)).otherwise(F.split("text", _CHUNK["L"], -1))
     mended = odd.dropDuplicates(keys).join(back, keys).withColumn("between", between)
     mended = mended.select(*keys, "text", F.expr("array_join(flatten(zip_with(between, transform(n, x -> x.normal), (a, b) -> array(a, coalesce(b, '')))), '')").alias("normal"))
