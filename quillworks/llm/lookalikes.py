@@ -15,7 +15,7 @@ nothing but doubles goes to the script most such letters of the whole text have.
 what a reader sees, so texts that look the same come out the same.
 
 Defined results: null stays null; empty stays empty; a text of invisible characters comes out
-empty; repeated rows stay; other columns are ignored.
+empty; a repeated key keeps one text; rows with a null key are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quillworks.session import checkpointed
+
 #: Letters that look like Latin ones, in the order of the Latin ones.
 LATIN_OF_CYRILLIC = ("ABCEHIJKMOPSTXYaceijopsxyhdqwü", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӱ")
 LATIN_OF_GREEK = ("ABEZHIKMNOPTYXovpuiax", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυιαχ")
@@ -47,7 +49,8 @@ def _lone(doubles: str) -> str:
 #: Chunks to work on, by the text's main script: anything odd, or a word of another script's doubles.
 _PART = "[^ \\n、。\\u3400-\\u9fff]"
 _CHUNK = {home: f"(?<!{_PART})(?={_PART}*?(?:{_ODD}|{_lone(d)})){_PART}++" for home, d in (("L", _CYR_DOUBLES + _GRK_DOUBLES), ("C", _LAT_DOUBLES + _GRK_DOUBLES), ("G", _LAT_DOUBLES + _CYR_DOUBLES))}
-_ANY = f"[{_IRREGULAR}{_CYR}{_GRK}]"
+#: Letters without a double, by which a text's main script is told; the same to any reader.
+_CLEAR = {"L": "[bfgklmnrtz]+", "C": "[бгджзилмнптцчшщ-ю]+", "G": "[βγδθλμξπσφψω]+"}
 
 
 def _map(ch: str) -> str:
@@ -136,32 +139,40 @@ def normal_chunks(chunks: DataFrame) -> DataFrame:
     return out.select(*by, F.array_join(F.transform("u", lambda x: x["s"]), "").alias("normal"))
 
 
-def _homed(rows: DataFrame) -> DataFrame:
-    """Adds the text's main script: that of most letters without a double in another script."""
-    def clear(script: str, doubles: str) -> F.Column:
-        return F.length(F.regexp_replace("text", f"[^{script}]|[{doubles}]", ""))
+def _home() -> F.Column:
+    """The text's main script: that of most letters without a double; Latin if there is no other."""
+    n = {k: F.length("text") - F.length(F.regexp_replace("text", v, "")) for k, v in _CLEAR.items()}
+    c, g = F.greatest(n["C"], n["G"]), n["L"]
+    return F.when(~F.col("text").rlike(f"[{_GRK[0]}-{_CYR[-1]}]"), "L").when(c <= g, "L").when(n["C"] >= n["G"], "C").otherwise("G")
+
+
+def _is_odd() -> F.Column:
+    """Whether anything in the text needs work, by cheap tests first.
 
-    n = rows.withColumn("_l", clear(_LAT, _LAT_DOUBLES)).withColumn("_c", clear(_CYR, _CYR_DOUBLES)).withColumn("_g", clear(_GRK, _GRK_DOUBLES))
-    return n.withColumn("home", F.expr("case when _c > _l and _c >= _g then 'C' when _g > _l then 'G' else 'L' end")).drop("_l", "_c", "_g")
+    Runs of plain characters are dropped before the long character class is tried on the rest.
+    """
+    rest = F.regexp_replace("text", "[ -~\\n]+|[А-яЁё]+|[À-ÿ]+", "")
+    both = F.col("text").rlike(f"[{_GRK[0]}-{_CYR[-1]}]")
+    other = {"L": _lone(_CYR_DOUBLES + _GRK_DOUBLES), "C": _lone(_LAT_DOUBLES + _GRK_DOUBLES), "G": _lone(_LAT_DOUBLES + _CYR_DOUBLES)}
+    lone = F.when(F.col("home") == "L", F.col("text").rlike(other["L"])).when(F.col("home") == "C", F.col("text").rlike(other["C"])).otherwise(F.col("text").rlike(other["G"]))
+    return ((F.length("text") != F.octet_length("text")) & ((rest != "") & rest.rlike(f"[{_IRREGULAR}]") | both & (F.col("text").rlike(_MIX) | lone))) | F.col("text").rlike("[\\x00-\\x09\\x0b-\\x1f\\x7f]")
 
 
 def normalize_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys + text, normal``.  Rows with one key must have one text; they come out once."""
-    if taken := {"text", "normal", "home", "chunks"} & set(keys):
+    """``keys + text, normal``.  Rows with one key must have one text; rows with a null key are left out."""
+    if taken := {"text", "normal", "home", "chunks", "odd"} & set(keys):
         raise ValueError(f"key columns can't be named {sorted(taken)}")
-    rows = df.select(*keys, F.col(text).alias("text"))
-    # Widths hide letters from the script count, so full-width Latin letters count as Latin by form.
-    maybe = _homed(rows.filter(F.col("text").rlike(_ANY)))
+    rows = df.select(*keys, F.col(text).alias("text")).dropna(subset=keys).withColumn("home", _home()).withColumn("odd", F.coalesce(_is_odd(), F.lit(False)))
     found = F.when(F.col("home") == "C", F.regexp_extract_all("text", F.lit(_CHUNK["C"]), F.lit(0))).when(F.col("home") == "G", F.regexp_extract_all("text", F.lit(_CHUNK["G"]), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_CHUNK["L"]), F.lit(0)))
-    maybe = maybe.withColumn("chunks", found)
-    odd = maybe.filter(F.size("chunks") > 0)
+    # The odd texts are used three times; they are kept in the shared folder.
+    odd = checkpointed(rows.filter("odd").dropDuplicates(keys).select(*keys, "text", "home", found.alias("chunks")))
     each = odd.select(*keys, "home", F.posexplode("chunks").alias("at", "chunk")).withColumn("cid", F.md5(F.concat("home", "chunk")))
     normal = normal_chunks(each.select("cid", "home", "chunk").dropDuplicates(["cid"]))
     back = each.drop("home", "chunk").join(normal, "cid", "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))
     between = F.when(F.col("home") == "C", F.split("text", _CHUNK["C"], -1)).when(F.col("home") == "G", F.split("text", _CHUNK["G"], -1)).otherwise(F.split("text", _CHUNK["L"], -1))
-    mended = odd.dropDuplicates(keys).join(back, keys).withColumn("between", between)
-    mended = mended.select(*keys, "text", F.expr("array_join(flatten(zip_with(between, transform(n, x -> x.normal), (a, b) -> array(a, coalesce(b, '')))), '')").alias("normal"))
-    plain = rows.filter(~F.coalesce(F.col("text").rlike(_ANY), F.lit(False))).unionByName(maybe.filter(F.size("chunks") <= 0).select(*keys, "text"))
+    mended = odd.join(back, keys, "left").withColumn("between", between)
+    mended = mended.select(*keys, "text", F.expr("if(n is null, text, array_join(flatten(zip_with(between, transform(n, x -> x.normal), (a, b) -> array(a, coalesce(b, '')))), ''))").alias("normal"))
+    plain = rows.filter("not odd")
     return mended.unionByName(plain.select(*keys, "text", F.col("text").alias("normal")))
 
 
@@ -173,7 +184,7 @@ def same_looking(df: DataFrame, tbl: str, rec_id: str, text: str) -> DataFrame:
     """
     n = normalize_texts(df.select(F.col(tbl).alias("tbl"), F.col(rec_id).cast("bigint").alias("rec_id"), F.col(text).alias("text")), ["tbl", "rec_id"], "text")
     n = n.filter(F.trim("normal") != "").filter(F.col("normal").rlike("[^ \\n]")).select("tbl", "rec_id", F.md5("normal").alias("look"), F.md5("text").alias("form"))
-    n = checkpoint_small(n)
+    n = checkpointed(n)  # ids and digests only
     several = n.groupBy("tbl", "look").agg(F.min("form").alias("a"), F.max("form").alias("b")).filter("a <> b").select("tbl", "look")
     members = n.join(several, ["tbl", "look"], "left_semi").distinct()
     forms = members.select("tbl", "look", "form").distinct()
@@ -182,9 +193,3 @@ def same_looking(df: DataFrame, tbl: str, rec_id: str, text: str) -> DataFrame:
     b = members.select("tbl", F.col("form").alias("fb"), F.col("rec_id").alias("rb"), "look")
     return pairs.join(a, ["tbl", "look", "fa"]).join(b, ["tbl", "look", "fb"]).select("tbl", F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
 
-
-def checkpoint_small(df: DataFrame) -> DataFrame:
-    """Ids and digests only, kept in the shared folder as they are used several times."""
-    from quillworks.session import checkpointed
-
-    return checkpointed(df)
