@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillworks.llm.cues import collapse_runs
 from quillworks.llm.encoding import repair_texts
 from quillworks.llm.lookalikes import normalize_texts, same_looking
+from quillworks.llm.markup import clean_markup
 from quillworks.llm.mixing import mix_sources, share_report
 from quillworks.llm.packing import fill_report, pack_items
+from quillworks.llm.pii import find_personal
 from quillworks.llm.pieces import split_items
 
 
@@ -71,6 +73,25 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text").dropDuplicates(["document_id"])
 
 
+def _subtitles() -> F.Column:
+    return F.col("doc_format").isin("srt", "vtt")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in whose text the stripper found markup."""
+    return clean_markup(_table(spark, d, "extracted_docs"), ["document_id"], "text", _subtitles(), only_hinted=True).filter("pieces > 0").select("document_id").distinct()
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(_table(spark, d, "extracted_docs"), ["document_id"], "text", _subtitles()).dropDuplicates(["document_id"])
+
+
+def p6_page_text(spark: SparkSession, d: str) -> DataFrame:
+    """The dense part of each page source, by the line-block distribution."""
+    pages = _table(spark, d, "extracted_docs").filter("doc_format = 'html'").dropDuplicates(["document_id"])
+    return clean_markup(pages, ["document_id"], "raw_text", page=True)
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = _table(spark, d, "size_limits").filter("unit = 'tokens'").collect()  # a table of three rows
     return pack_items(_table(spark, d, "documents"), "doc_id", "text", {r["limit_name"]: int(r["capacity"]) for r in sizes})
@@ -93,8 +114,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(mix_sources(_table(spark, d, "documents"), targets, "doc_id", "text", "source"), targets)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = find_personal(_table(spark, d, "documents"), ["doc_id"], "text", with_text=False).select("doc_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", F.col("s.kind").alias("pii_kind"), F.col("s.start_pos").alias("start_pos"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(_table(spark, d, "documents"), ["doc_id"], "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalized, p3_found, p3_runs, p5_found, p5_repaired, p7_containers, p7_fill, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalized, p3_found, p3_runs, p5_found, p5_repaired, p6_found, p6_clean, p6_page_text, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
