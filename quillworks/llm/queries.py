@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillworks.llm.boilerplate import separate_pages
 from quillworks.llm.cues import collapse_runs
 from quillworks.llm.encoding import repair_texts
 from quillworks.llm.lookalikes import normalize_texts, same_looking
@@ -65,6 +66,23 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(_table(spark, d, "segments"), "document_id", "seq", "text", "start_time", "end_time").withColumnRenamed("entity", "document_id")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Web articles and page sources with the name of their site as host (sites is a table of 60 rows)."""
+    sites = _table(spark, d, "sites").select("site_id", "site_name")
+    articles = _table(spark, d, "web_articles").join(F.broadcast(sites), "site_id", "left").select(F.lit("web_articles").alias("tbl"), F.col("article_id").alias("rec_id"), F.coalesce("site_name", F.col("metadata")["siteName"]).alias("host"), F.lit(None).cast("string").alias("source"), "blocks")
+    sources = _table(spark, d, "extracted_docs").filter("doc_format = 'html' and raw_text is not null").select(F.lit("extracted_docs").alias("tbl"), F.col("document_id").alias("rec_id"), F.col("metadata")["siteName"].alias("host"), F.col("raw_text").alias("source"))
+    return articles.unionByName(sources.withColumn("blocks", F.lit(None).cast(dict(articles.dtypes)["blocks"])))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return separate_pages(_pages(spark, d)).select("tbl", "rec_id", F.explode("furniture").alias("pos"))
+
+
+def p4_main(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of the pieces that make up the article, in order."""
+    return separate_pages(_pages(spark, d)).select("tbl", "rec_id", "kept")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text", only_suspicious=True).filter("garbled").select("document_id").distinct()
 
@@ -124,7 +142,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalized, p3_found, p3_runs, p5_found, p5_repaired, p6_found, p6_clean, p6_page_text, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_normalized, p3_found, p3_runs, p4_found, p4_main, p5_found, p5_repaired, p6_found, p6_clean, p6_page_text, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
