@@ -5,7 +5,7 @@ Sizes fall into classes by reciprocals of the capacity: class k holds the sizes
 counting, without looking at any other worker's.  The last class (C/``CLASSES`` and below) is filled
 by sum.  Two refinements keep the unused space small: a bin that has its k items takes items of
 smaller classes into the space they left; and bins a worker could not fill are emptied and packed
-again with those of other workers, in shards.
+again with those of other workers, in shards, where bins that stay open are joined.
 
 An item larger than the capacity is cut into parts of exactly the capacity and a rest; only the rest
 is packed.  No other item is cut.
@@ -17,6 +17,7 @@ no container; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -86,6 +87,22 @@ class Packer:
         return out
 
 
+def merged(bins: list[tuple[int, list]], capacity: int) -> list[tuple[int, list]]:
+    """Unfilled bins joined where they fit together, the fullest first, each into the tightest room."""
+    out: list[tuple[int, list]] = []
+    room: list[tuple[int, int]] = []  # (space left, place in out), in order
+    for used, items in sorted(bins, key=lambda b: -b[0]):
+        i = bisect_left(room, (used, -1))
+        if i < len(room):
+            left, k = room.pop(i)
+            out[k] = (out[k][0] + used, out[k][1] + items)
+            insort(room, (left - used, k))
+        else:
+            insort(room, (capacity - used, len(out)))
+            out.append((used, items))
+    return out
+
+
 _SCHEMA = "limit_name string, capacity bigint, item_id bigint, part_no int, start_token bigint, n_tokens bigint, container string, shard int"
 _NAMES = ["limit_name", "capacity", "item_id", "part_no", "start_token", "n_tokens", "container", "shard"]
 _TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
@@ -151,12 +168,12 @@ def _refill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(r)
                 continue
             if (r[0], r[1], r[7]) != at:
-                out += rows(packer.rest()) if packer else []
+                out += rows(merged(packer.rest(), at[1])) if packer else []
                 packer, at, made = Packer(r[1]), (r[0], r[1], r[7]), 0
             out += rows(packer.add(tuple(r[2:6]), r[5]))
         if out:
             yield _batch(out)
-    if packer and (out := list(rows(packer.rest()))):
+    if packer and (out := list(rows(merged(packer.rest(), at[1])))):
         yield _batch(out)
 
 
