@@ -1,15 +1,365 @@
-"""Queries over the test tables for the extraction operators, with their SQL equivalents."""
+"""Queries over the test tables for the extraction operators, with their SQL equivalents.
+
+Every query runs over whole tables.  Delivered-twice rows stay as they are in both engines.
+"""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from quillworks.functions.html import decode_entities, html_text, strip_tags
+from quillworks.functions.markdown import markdown_text, strip_fences
+from quillworks.functions.numbering import letters, roman
+from quillworks.functions.subtitles import cues, seconds, segments
+from quillworks.functions.text import join_paragraphs, normalize, normalize_cells
+from quillworks.functions.titles import extension, strip_site, title
+from quillworks.operators.kernels import parse
+from quillworks.options import ExtractOptions
+from quillworks.plans.articles import extract_articles, from_json, render_blocks, to_json, validate_article
+from quillworks.plans.extract import errors_by_code as count_errors, extract
+from quillworks.plans.registry import Registry
+
+Q = Callable[[SparkSession, str], DataFrame]
+FLAT, PLAIN = ExtractOptions(preserve_paragraphs=False), ExtractOptions(normalize_whitespace=False)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _raw(fmt: str, make: Callable[[Column], Column], out: str = "text") -> Q:
+    """A column function over the sources of one format."""
+    return lambda spark, d: _t(spark, d, "extracted_docs").filter((F.col("doc_format") == fmt) & F.col("raw_text").isNotNull()).select("document_id", make(F.col("raw_text")).alias(out))
+
+
+def _texts(make: Callable[[Column], Column]) -> Q:
+    return lambda spark, d: _t(spark, d, "extracted_docs").select("document_id", make(F.col("text")).alias("text"))
+
+
+def _cues(fmt: str) -> Q:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        rows = _raw(fmt, lambda c: cues(c, fmt), "c")(spark, d)
+        return rows.select("document_id", F.explode("c").alias("c")).select("document_id", F.col("c.n").cast("bigint").alias("n"), "c.source_id", "c.start_time", "c.end_time", "c.text")
+
+    return q
+
+
+def _segments(fmt: str) -> Q:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        rows = _raw(fmt, lambda c: cues(c, fmt), "c")(spark, d).select("document_id", F.inline(F.array(F.struct("c"))))
+        return rows.select("document_id", segments(F.col("c"), fmt).alias("s")).select("document_id", F.posexplode("s").alias("position", "s")).select("document_id", F.col("position").cast("bigint").alias("position"), "s.id", "s.text")
+
+    return q
+
+
+def timestamp_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """Event times written as cue times and read again."""
+    stamp = F.date_format("ts", "HH:mm:ss','SSS")
+    return _t(spark, d, "events").select("event_id", seconds(stamp).alias("seconds"))
+
+
+def dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "decoded_texts").select("document_id", extension(F.col("path")).alias("extension"), Registry().by_name(F.col("path")).alias("format"))
+
+
+def size_limit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select("doc_id", F.col("raw_bytes").alias("content"), F.lit("page.bin").alias("file_name"))
+    done = extract(rows, options=ExtractOptions(max_input_bytes=2000))
+    return done.select("doc_id", "error.code", "error.actual_bytes", "error.max_bytes")
+
+
+def errors_by_code(spark: SparkSession, d: str) -> DataFrame:
+    """Document texts as files of the names that decoded_texts has; blank texts and unknown names are errors."""
+    docs = _t(spark, d, "extracted_docs").select("document_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).dropDuplicates(["document_id"])
+    names = _t(spark, d, "decoded_texts").select("document_id", "file_name").dropDuplicates(["document_id"])
+    rows = docs.join(names, "document_id", "left").withColumn("file_name", F.when(F.lower("file_name").rlike("\\.(?:txt|text)$"), F.col("file_name")))
+    return count_errors(extract(rows))
+
+
+def document_title(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "decoded_texts").select("document_id", title(F.lit(None).cast("string"), F.col("file_name")).alias("title"))
+
+
+def _decoded(codec: str) -> Q:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        rows = _t(spark, d, "documents").select("doc_id", parse(F.lit("plainText"), F.encode("text", codec)).alias("p"))
+        return rows.select("doc_id", "p.encoding", "p.text", "p.legacy")
+
+    return q
+
+
+def decode_pages(spark: SparkSession, d: str) -> DataFrame:
+    """How the page bytes read: encoding and characters."""
+    rows = _t(spark, d, "documents").select("doc_id", parse(F.lit("html"), F.col("raw_bytes")).alias("p"))
+    return rows.select("doc_id", "p.encoding", "p.legacy", F.length("p.text").alias("characters"), "p.code")
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_O = 'xmlns:office="urn:o" xmlns:text="urn:t" xmlns:table="urn:b"'
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(files):
+            z.writestr(name, files[name])
+    return b.getvalue()
+
+
+def _docx(head: pd.Series, rows: pd.Series) -> pd.Series:
+    p = lambda t: f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
+    return pd.Series([_zip({"word/document.xml": f"<w:document {_W}><w:body>{p(h)}<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r.split("|")) + "</w:tr>" for r in rs) + "</w:tbl></w:body></w:document>"}) for h, rs in zip(head, rows)])
+
+
+def _odt(head: pd.Series, rows: pd.Series) -> pd.Series:
+    return pd.Series([_zip({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": f"<office:document-content {_O}><office:body><text:h>{escape(h)}</text:h><text:list>" + "".join(f"<text:list-item><text:p>{escape(r)}</text:p></text:list-item>" for r in rs) + "</text:list></office:body></office:document-content>"}) for h, rs in zip(head, rows)])
+
+
+def _pptx(head: pd.Series, rows: pd.Series) -> pd.Series:
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def one(h: str, rs: list[str]) -> bytes:
+        slide = lambda t: f'<p:sld xmlns:p="urn:p" xmlns:a="urn:a"><p:sp><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></p:sp></p:sld>'
+        texts = [h, *rs]
+        return _zip({"[Content_Types].xml": "<Types/>", "ppt/presentation.xml": '<p:presentation xmlns:p="urn:p" xmlns:r="urn:r"><p:sldIdLst>' + "".join(f'<p:sldId r:id="rId{i}"/>' for i in range(len(texts))) + "</p:sldIdLst></p:presentation>", "ppt/_rels/presentation.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Type="{rel}/slide" Target="slides/slide{i}.xml"/>' for i in range(len(texts))) + "</Relationships>"} | {f"ppt/slides/slide{i}.xml": slide(t) for i, t in enumerate(texts)})
+
+    return pd.Series([one(h, list(rs)) for h, rs in zip(head, rows)])
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """A document of each supplier nation: its name and its suppliers, in order of key."""
+    s = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    g = s.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("x"))
+    return g.select("n_nationkey", "n_name", F.transform("x", lambda x: F.concat(x["s_suppkey"].cast("string"), F.lit("|"), x["s_name"])).alias("rows"))
+
+
+def _container(make, ext: str) -> Q:
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        rows = _lists(spark, d).select("n_nationkey", F.pandas_udf(make, "binary")("n_name", "rows").alias("content"), F.lit(f"x.{ext}").alias("file_name"))
+        return extract(rows).select("n_nationkey", "document.text", F.size("document.segments").cast("bigint").alias("segments"))
+
+    return q
+
+
+def number_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", letters(F.col("p_size")).alias("letters"), roman(F.col("p_size")).alias("roman"))
+
+
+def extract_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that are text, as files, through the whole pipeline."""
+    ext = F.element_at(F.create_map(*(F.lit(x) for f, e in (("plainText", "txt"), ("markdown", "md"), ("srt", "srt"), ("vtt", "vtt"), ("html", "html"), ("rtf", "rtf")) for x in (f, e))), F.col("doc_format"))
+    rows = _t(spark, d, "extracted_docs").filter(F.col("raw_text").isNotNull()).select("document_id", F.concat("title", F.lit("."), ext).alias("file_name"), F.encode("raw_text", "UTF-8").alias("content"))
+    return extract(rows).select("document_id", "document.format", "document.title", "document.text", F.size("document.segments").alias("segments"), "error.code")
+
+
+def article_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Crawled pages as articles."""
+    rows = _t(spark, d, "documents").select("doc_id", "url", F.col("raw_bytes").alias("html"))
+    return extract_articles(rows).select("doc_id", "article.title", F.size("article.blocks").alias("blocks"), F.length("article.text").alias("characters"), "article.metadata", "error.code")
+
+
+def _model(rows: DataFrame) -> DataFrame:
+    """web_articles as articles of the model: kinds of heading:N parted into kind and level."""
+    kind = lambda b: F.split(b["kind"], ":")
+    blocks = F.transform("blocks", lambda b: F.struct(b["id"].alias("id"), kind(b)[0].alias("kind"), F.get(kind(b), F.lit(1)).cast("int").alias("level"), b["text"].alias("text")))
+    return rows.select("article_id", F.struct("title", "source_url", blocks.alias("blocks"), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), render_blocks(blocks).alias("text")).alias("article"))
+
+
+def article_text(spark: SparkSession, d: str) -> DataFrame:
+    return _model(_t(spark, d, "web_articles")).select("article_id", "article.text")
+
+
+def article_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _model(_t(spark, d, "web_articles")).select("article_id", validate_article(F.col("article")).alias("rule"))
+
+
+def article_json(spark: SparkSession, d: str) -> DataFrame:
+    """Articles through their serialised form and back."""
+    rows = _model(_t(spark, d, "web_articles")).withColumn("back", from_json(to_json(F.col("article"))))
+    return rows.select("article_id", "back.title", "back.text", F.size("back.blocks").cast("bigint").alias("blocks"))
+
+
+def site_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Titles branded with the site's name, and unbranded again."""
+    site = F.col("metadata")["siteName"]
+    return _t(spark, d, "web_articles").select("article_id", strip_site(F.concat("title", F.lit(" | "), F.upper(F.coalesce(site, F.lit("Other")))), site).alias("title"))
+
+
+def warnings_by_code(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "extracted_docs").select("document_id", F.explode("warnings").alias("w")).groupBy(F.col("w.code").alias("code")).agg(F.countDistinct("document_id").alias("documents"))
+
+
+def registry_formats(spark: SparkSession, d: str) -> DataFrame:
+    return Registry().frame(spark)
+
+
+def join_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "web_articles").select("article_id", join_paragraphs(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
+
+
+def queries() -> dict[str, Q]:
+    return {
+        "html_text": _raw("html", html_text),
+        "html_text_flat": _raw("html", lambda c: html_text(c, FLAT)),
+        "html_strip_tags": _raw("html", strip_tags),
+        "html_entities": _texts(decode_entities),
+        "normalize_default": _texts(normalize),
+        "normalize_flat": _texts(lambda c: normalize(c, FLAT)),
+        "normalize_raw": _texts(lambda c: normalize(c, PLAIN)),
+        "normalize_cells": _texts(normalize_cells),
+        "markdown_readable": _raw("markdown", markdown_text),
+        "markdown_raw": _raw("markdown", lambda c: markdown_text(c, ExtractOptions(markdown_mode="raw"))),
+        "markdown_fences": _raw("markdown", strip_fences),
+        "srt_cues": _cues("srt"), "vtt_cues": _cues("vtt"), "srt_segments": _segments("srt"), "vtt_segments": _segments("vtt"),
+        "timestamp_seconds": timestamp_seconds, "dispatch": dispatch, "size_limit": size_limit, "errors_by_code": errors_by_code, "document_title": document_title, "registry_formats": registry_formats,
+        "decode_utf16": _decoded("UTF-16"), "decode_utf8": _decoded("UTF-8"), "decode_pages": decode_pages,
+        "docx_text": _container(_docx, "docx"), "odt_text": _container(_odt, "odt"), "pptx_slides": _container(_pptx, "pptx"),
+        "number_labels": number_labels, "extract_documents": extract_documents,
+        "article_pages": article_pages, "article_text": article_text, "article_rules": article_rules, "article_json": article_json, "site_suffix": site_suffix, "join_blocks": join_blocks, "warnings_by_code": warnings_by_code,
+    }
+
+
+# SQL ------------------------------------------------------------------------------------------
+
+_WS = "\\t-\\r\\x{85}\\p{Z}"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{_WS}]+', ''), '[{_WS}]+$', '')"
+
+
+def _sql_normalize(x: str, flat: bool = False, plain: bool = False) -> str:
+    x = f"regexp_replace(replace(replace(regexp_replace({x}, '\\r\\n?|[\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(160), ' '), chr(8203), ''), '[\\x00-\\x08\\x0b-\\x1f]', '', 'g')"
+    if plain:
+        return _trim(x)
+    lines = f"list_transform(string_split(regexp_replace({x}, '[ \\t]+', ' ', 'g'), chr(10)), lambda l: regexp_replace(l, '^[\\p{{Zs}}\\t]+|[\\p{{Zs}}\\t]+$', '', 'g'))"
+    joined = f"array_to_string({lines}, {"' '" if flat else 'chr(10)'})"
+    return _trim(f"regexp_replace({joined}, '[\\t\\n\\f\\r\\p{{Z}}]+', ' ', 'g')" if flat else f"regexp_replace({joined}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _sql_entities(x: str) -> str:
+    from quillworks.functions.html import ENTITIES
+
+    pat = "&(?:#x[0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
+    named = " ".join(f"when '&{k};' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ENTITIES.items())
+    number = "case when e like '&#x%' then try_cast('0x' || e[4:-2] as bigint) when e like '&#%' then try_cast(e[3:-2] as bigint) end"
+    one = f"case when e like '&#%' then case when {number} > 0 and {number} <= 1114111 and not {number} between 55296 and 57343 then chr(({number})::int) else e end else case e {named} else e end end"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{pat}'), list_transform(regexp_extract_all({x}, '{pat}'), lambda e: {one})), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+def _sql_tags(x: str) -> str:
+    q = "(?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*"
+    return f"regexp_replace(regexp_replace({x}, '<[\\p{{L}}/!?]{q}>', ' ', 'g'), '<[\\p{{L}}/!?]{q}(?:\"[^\"]*|''[^'']*)?$', '')"
+
+
+def _sql_html(flat: bool = False) -> str:
+    from quillworks.functions.html import BLOCKS, MARK
+
+    m = f"chr({ord(MARK)})"
+    x = f"replace(raw_text, {m}, '')"
+    for pattern, to in (("(?s)<!--.*?-->", "chr(10)"), ("(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>", "chr(10)"), ("(?i)<br\\b[^>]*>", "chr(10)"), (f"(?i)<hr\\b[^>]*>|</(?:{BLOCKS})\\s*>", m), ("(?i)<li\\b[^>]*>", "chr(10)"), ("(?i)</t[dh]\\s*>", "chr(9)")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    ws = f"[ \\t\\n\\r\\x{{2028}}\\x{{2029}}{MARK}]"
+    steps = f"with a as (select document_id, {_sql_tags(x)} as t from extracted_docs where doc_format = 'html' and raw_text is not null), b as (select document_id, {_sql_entities('t')} as t from a), c as (select document_id, regexp_replace(regexp_replace(t, '^{ws}*{MARK}{ws}*', ''), '{ws}*{MARK}{ws}*$', '') as t from b), d as (select document_id, regexp_replace(t, '{ws}*{MARK}{ws}*', {'chr(10)' if flat else 'chr(10) || chr(10)'}, 'g') as t from c)"
+    return f"{steps} select document_id, {_sql_normalize('t', flat)} as text from d"
+
+
+def _sql_markdown() -> str:
+    fence = "(?ms)^[\\p{Zs}\\t]*```[^\\n]*\\n(?:.*?\\n)?[\\p{Zs}\\t]*```[^\\n]*"
+    x = "regexp_replace(raw_text, '\\r\\n?', chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?s)^---\\n.*?\\n---\\n', '')"
+    x = f"regexp_replace(regexp_replace({x}, '{fence}', chr(10), 'g'), '(?ms)^[\\p{{Zs}}\\t]*```.*\\z', '')"
+    x = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: not regexp_matches(l, '^(?:    |\\t)')), chr(10))"
+    for p, to in (("!\\[([^\\]]*)\\]\\([^\\n)]*\\)", "\\1"), ("\\[([^\\]]+)\\]\\([^\\n)]*\\)", "\\1"), ("\\[([^\\]]+)\\]\\[[^\\]]*\\]", "\\1"), ("(?i)<https?://[^>]+>", ""), ("(?i)<mailto:([^>]+)>", "\\1")):
+        x = f"regexp_replace({x}, '{p}', '{to}', 'g')"
+    s = "l"
+    for p in ("^\\s{0,3}#{1,6}\\s+", "^\\s*(?:>\\s*)+", "^\\s*[-*+]\\s+\\[[ xX]\\]\\s+", "^\\s*[-*+]\\s+", "^\\s*\\d+[.)]\\s+"):
+        s = f"regexp_replace({s}, '{p}', '')"
+    blank = "regexp_matches(l, '^\\s{0,3}\\[[^\\]]+\\]:\\s*\\S+') or regexp_matches(l, '^\\s{0,3}(?:=+|-+)\\s*$') or regexp_matches(l, '^\\s*\\|?\\s*:?-{3,}:?\\s*(?:\\|\\s*:?-{3,}:?\\s*)+\\|?\\s*$')"
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: case when {blank} then '' else {s} end), chr(10))"
+    for p, to in (("`+([^`\\n]*?)`+", "\\1"), ("\\*\\*(.*?)\\*\\*|__(.*?)__", "\\1\\2"), ("\\*(.*?)\\*|_(.*?)_", "\\1\\2"), ("~~(.*?)~~", "\\1"), ("\\\\([\\\\`*_{}\\[\\]()#+\\-.!>])", "\\1")):
+        x = f"regexp_replace({x}, '{p}', '{to}', 'g')"
+    x = _sql_tags(f"replace({x}, '|', ' ')")
+    return f"with a as (select document_id, {x} as t from extracted_docs where doc_format = 'markdown' and raw_text is not null), b as (select document_id, {_sql_entities('t')} as t from a) select document_id, {_sql_normalize('t')} as text from b"
+
+
+def _sql_cues(fmt: str) -> str:
+    num = "[0-9]+(?:\\.[0-9]*)?"
+
+    def secs(t: str) -> str:
+        p = f"string_split({t}, ':')"
+        return f"case when regexp_full_match({t}, '[0-9]+:{num}') and {p}[2]::double < 60 then {p}[1]::double * 60 + {p}[2]::double when regexp_full_match({t}, '[0-9]+:[0-9]+:{num}') and {p}[2]::double < 60 and {p}[3]::double < 60 then {p}[1]::double * 3600 + {p}[2]::double * 60 + {p}[3]::double end"
 
-from pyspark.sql import DataFrame, SparkSession
+    skip = "and not regexp_matches(upper(string_split(b, chr(10))[1]), '^(?:WEBVTT|NOTE|STYLE|REGION)')" if fmt == "vtt" else ""
+    body = _sql_entities("t")
+    return f"""
+        with docs as (select row_number() over () as rid, document_id, regexp_replace(raw_text, '\\r\\n?', chr(10), 'g') as r from extracted_docs where doc_format = '{fmt}' and raw_text is not null),
+        blocks as (select rid, document_id, k, {_trim("x[k]")} as b from (select rid, document_id, string_split_regex(r, '\\n\\s*\\n') as x from docs), lateral (select unnest(range(1, len(x) + 1)) as k)),
+        lined as (select rid, document_id, k, string_split(b, chr(10)) as l, list_position(list_transform(string_split(b, chr(10)), lambda y: contains(y, '-->')), true) as pos from blocks where b <> '' {skip}),
+        parts as (select rid, document_id, k, string_split(l[pos], '-->') as s, case when pos > 1 then {_trim("l[pos - 1]")} end as source_id, regexp_replace(regexp_replace(array_to_string(l[pos + 1:], chr(10)), '<[^>]+>', '', 'g'), '\\{{[^}}]+\\}}', '', 'g') as t from lined where pos > 0),
+        read as (select rid, document_id, k, nullif(source_id, '') as source_id, replace({_trim("s[1]")}, ',', '.') as a, replace(regexp_extract({_trim("array_to_string(s[2:], '-->')")}, '^[^\\s\\p{{Z}}]*'), ',', '.') as z, {body} as t from parts),
+        said as (select rid, document_id, k, source_id, {secs("a")} as start_time, {secs("z")} as end_time, {_sql_normalize("t")} as text from read)
+        select rid, document_id, row_number() over (partition by rid order by k) as n, source_id, start_time, end_time, text from said where text <> ''"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _sql_segments(fmt: str) -> str:
+    words = lambda x: f"list_filter(string_split_regex({x}, '[{_WS}]+'), lambda w: w <> '')"
+    return f"""
+        with c as ({_sql_cues(fmt)}),
+        w as (select *, {words('text')} as cw, {words("lag(text) over (partition by rid order by n)")} as pw, lag(text) over (partition by rid order by n) as prior from c),
+        l as (select *, list_transform(cw, lambda x: lower(x)) as cl, list_transform(pw, lambda x: lower(x)) as pl from w),
+        o as (select *, case when prior is null then 0 else coalesce(list_max(list_filter(range(1, least(len(pl), len(cl)) + 1), lambda k: pl[len(pl) - k + 1:] = cl[1:k])), 0) end as k from l),
+        s as (select document_id, rid, n, case when prior is null or k = 0 then text when k < len(cw) then array_to_string(cw[k + 1:], ' ') end as text from o)
+        select document_id, row_number() over (partition by rid order by n) - 1 as position, '{fmt}-' || n as id, text from s where text is not null"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    texts = "from extracted_docs"
+    model = "list_transform(blocks, lambda b: b.text)"
+    joined = f"array_to_string({model}, chr(10) || chr(10))"
+    roman_digits = lambda n, a, b, c: f"['', '{a}', '{a * 2}', '{a * 3}', '{a}{b}', '{b}', '{b}{a}', '{b}{a * 2}', '{b}{a * 3}', '{a}{c}'][{n} % 10 + 1]"
+    lists = "select n_nationkey, n_name, list(s_suppkey || '|' || s_name order by s_suppkey) as r from supplier join nation on s_nationkey = n_nationkey group by all"
+    nn = "chr(10) || chr(10)"
+    rule = f"""case when list_bool_or(list_transform(blocks, lambda b: {_trim("coalesce(b.id, '')")} = '')) then 'emptyBlockIdentifier'
+        when list_bool_or(list_transform(blocks, lambda b: {_trim("coalesce(b.text, '')")} = '')) then 'emptyBlockText'
+        when list_bool_or(list_transform(blocks, lambda b: b.kind like 'heading%' and not coalesce(try_cast(b.kind[9:] as int) between 1 and 6, false))) then 'invalidHeadingLevel'
+        when {_trim("coalesce(title, '')")} = '' then 'emptyTitle' when coalesce(len(blocks), 0) = 0 then 'emptyBlocks'
+        when len(list_distinct(list_transform(blocks, lambda b: b.id))) < len(blocks) then 'duplicateBlockIdentifier' end"""
+    return {
+        "html_text": _sql_html(),
+        "html_text_flat": _sql_html(True),
+        "html_strip_tags": f"select document_id, {_sql_tags('raw_text')} as text from extracted_docs where doc_format = 'html' and raw_text is not null",
+        "html_entities": f"select document_id, {_sql_entities('text')} as text {texts}",
+        "normalize_default": f"select document_id, {_sql_normalize('text')} as text {texts}",
+        "normalize_flat": f"select document_id, {_sql_normalize('text', flat=True)} as text {texts}",
+        "normalize_raw": f"select document_id, {_sql_normalize('text', plain=True)} as text {texts}",
+        "normalize_cells": f"select document_id, case when contains(text, chr(9)) then {_trim(f'array_to_string(list_transform(string_split(text, chr(9)), lambda c: {_sql_normalize('c')}), chr(9))')} else {_sql_normalize('text')} end as text {texts}",
+        "markdown_readable": _sql_markdown(),
+        "markdown_raw": f"select document_id, {_sql_normalize('raw_text')} as text from extracted_docs where doc_format = 'markdown' and raw_text is not null",
+        **{f"{f}_cues": f"select document_id, n, source_id, start_time, end_time, text from ({_sql_cues(f)})" for f in ("srt", "vtt")},
+        **{f"{f}_segments": _sql_segments(f) for f in ("srt", "vtt")},
+        "timestamp_seconds": "select event_id, extract(hour from ts) * 3600 + extract(minute from ts) * 60 + floor(extract(millisecond from ts)) / 1000 as seconds from events",
+        "dispatch": "with e as (select document_id, lower(nullif(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+\\.([^.]+)$', 1), '')) as extension from decoded_texts) select document_id, extension, case when extension in ('txt', 'text') then 'plainText' when extension in ('md', 'markdown', 'mdown', 'mkd') then 'markdown' when extension = 'srt' then 'srt' when extension in ('vtt', 'webvtt') then 'vtt' when extension = 'rtf' then 'rtf' when extension in ('html', 'htm') then 'html' when extension in ('doc', 'docx', 'odt', 'pptx') then extension end as format from e",
+        "size_limit": "select doc_id, case when coalesce(octet_length(raw_bytes), 0) > 2000 then 'fileTooLarge' else 'unsupportedFileType' end as code, case when octet_length(raw_bytes) > 2000 then octet_length(raw_bytes) end as actual_bytes, case when octet_length(raw_bytes) > 2000 then 2000::bigint end as max_bytes from documents",
+        "errors_by_code": f"with d as (select document_id, any_value(text) as text from extracted_docs group by 1), n as (select document_id, any_value(file_name) as f from decoded_texts group by 1), j as (select case when f is null or not regexp_matches(lower(f), '\\.(?:txt|text)$') then 'unsupportedFileType' when {_sql_normalize("coalesce(text, '')")} = '' then 'emptyDocument' end as code from d left join n using (document_id)) select code, count(*) as count from j where code is not null group by 1",
+        "document_title": f"select document_id, coalesce(nullif({_trim("regexp_replace(file_name, '^(.+)\\.[^.]+$', '\\1')")}, ''), 'Untitled') as title from decoded_texts",
+        "decode_utf16": "select doc_id, 'utf-16be-bom' as encoding, text, false as legacy from documents",
+        "decode_utf8": "select doc_id, case when text = '' then 'empty' else 'utf-8' end as encoding, text, false as legacy from documents",
+        "docx_text": f"with l as ({lists}) select n_nationkey, n_name || {nn} || array_to_string(list_transform(r, lambda x: replace(x, '|', chr(9))), {nn}) as text, 0::bigint as segments from l",
+        "odt_text": f"with l as ({lists}) select n_nationkey, n_name || {nn} || array_to_string(list_transform(r, lambda x: '• ' || x), {nn}) as text, 0::bigint as segments from l",
+        "pptx_slides": f"with l as ({lists}) select n_nationkey, n_name || {nn} || array_to_string(r, {nn}) as text, (len(r) + 1)::bigint as segments from l",
+        "number_labels": f"select p_partkey, case when p_size <= 26 then chr((96 + p_size)::int) else chr((96 + (p_size - 1) // 26)::int) || chr((97 + (p_size - 1) % 26)::int) end as letters, repeat('c', (p_size // 100)::bigint) || {roman_digits('(p_size // 10)', 'x', 'l', 'c')} || {roman_digits('p_size', 'i', 'v', 'x')} as roman from part",
+        "article_text": f"select article_id, {joined} as text from web_articles",
+        "article_rules": f"select article_id, {rule} as rule from web_articles",
+        "article_json": f"select article_id, case when ({rule}) is null and source_url is not null then {_trim('title')} end as title, case when ({rule}) is null and source_url is not null then {joined} end as text, case when ({rule}) is null and source_url is not null then len(blocks) end as blocks from web_articles",
+        "site_suffix": f"select article_id, case when {_trim("coalesce(metadata['siteName'], '')")} <> '' and {_trim('title')} <> '' then {_trim('title')} else title || ' | ' || upper(coalesce(metadata['siteName'], 'Other')) end as title from web_articles",
+        "join_blocks": f"select article_id, array_to_string(list_filter(list_transform({model}, lambda t: {_trim('t')}), lambda t: t <> ''), chr(10)) as text from web_articles",
+        "warnings_by_code": "select w.code as code, count(distinct document_id) as documents from extracted_docs, lateral (select unnest(warnings) as w) group by 1",
+        "registry_formats": "select * from (values " + ", ".join(f"({i}, '{x.format}', '{e}')" for i, x in enumerate(Registry().extractors) for e in x.extensions) + ") as t(position, format, extension)",
+    }

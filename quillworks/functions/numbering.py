@@ -1,0 +1,28 @@
+"""List numbers in letters and Roman numerals, as expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def letters(n: Column) -> Column:
+    """1 is a, 26 z, 27 aa (bijective base 26); null below 1."""
+    step = F.sequence(F.lit(1), F.lit(14))
+    start = F.struct(n.cast("bigint").alias("left"), F.lit("").alias("out"))
+
+    def digit(acc: Column, _: Column) -> Column:
+        d = ((acc["left"] - 1) % 26).cast("int")
+        return F.when(acc["left"] > 0, F.struct(F.floor((acc["left"] - 1) / 26).cast("bigint").alias("left"), F.concat(F.chr(d + 97), acc["out"]).alias("out"))).otherwise(acc)
+
+    return F.when(n >= 1, F.aggregate(step, start, digit, lambda a: a["out"]))
+
+
+def roman(n: Column) -> Column:
+    """Small Roman numerals of 1 to 3999, null beyond."""
+    left, out = n.cast("int"), F.lit("")
+    for value, sign in _ROMAN:
+        k = F.floor(left / value).cast("int")
+        out, left = F.concat(out, F.repeat(F.lit(sign), k)), left % value
+    return F.when(n.between(1, 3999), out)
