@@ -21,12 +21,12 @@ def strip_fences(col: Column) -> Column:
 
 
 def _line(col: Column) -> Column:
-    blank = col.rlike("^\\s{0,3}\\[[^\\]]+\\]:\\s*\\S+") | col.rlike("^\\s{0,3}(?:=+|-+)\\s*$") | col.rlike("^\\s*\\|?\\s*:?-{3,}:?\\s*(?:\\|\\s*:?-{3,}:?\\s*)+\\|?\\s*$")
+    blank = col.rlike("^\\s{0,3}\\[[^\\]]+\\]:\\s*\\S+") | col.rlike("^\\s{0,3}(?:=+|-+)\\s*$") | col.rlike("^\\s*+\\|?\\s*+:?-{3,}+:?\\s*+(?:\\|\\s*+:?-{3,}+:?\\s*+)++(?:\\|\\s*+)?$")
     s = rx(col, "^\\s{0,3}#{1,6}\\s+")
-    s = rx(s, "^\\s*(?:>\\s*)+")
-    s = rx(s, "^\\s*[-*+]\\s+\\[[ xX]\\]\\s+")
-    s = rx(s, "^\\s*[-*+]\\s+")
-    s = rx(s, "^\\s*\\d+[.)]\\s+")
+    s = rx(s, "^\\s*+(?:>\\s*+)++")
+    s = rx(s, "^\\s*+[-*+]\\s++\\[[ xX]\\]\\s++")
+    s = rx(s, "^\\s*+[-*+]\\s++")
+    s = rx(s, "^\\s*+\\d++[.)]\\s++")
     return F.when(blank, "").otherwise(s)
 
 

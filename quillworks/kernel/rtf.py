@@ -76,7 +76,7 @@ def text(data: bytes) -> str:
             elif owed:
                 owed -= 1
             elif not skip:
-                out.append({b"~": " ", b"_": "-", b"-": "", b"\n": "\n", b"\r": "\n"}.get(sign, sign.decode("latin-1") if sign in b"\\{}" else ""))
+                out.append({b"~": "\xa0", b"_": "-", b"-": "", b"\n": "\n", b"\r": "\n"}.get(sign, sign.decode("latin-1") if sign in b"\\{}" else ""))
         elif plain is not None:
             cut = min(owed, len(plain))
             owed, plain = owed - cut, plain[cut:]

@@ -58,9 +58,13 @@ def parse(fmt: Column, content: Column, options: ExtractOptions = ExtractOptions
 
 
 def _arrow(run, kind: str):
+    import warnings
+
     from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
 
-    return arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # the type hints here are strings
+        return arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
 
 
 def sniff(content: Column, options: ExtractOptions = ExtractOptions()) -> Column:

@@ -44,7 +44,8 @@ def assemble(page: Column, url: Column, options: WebOptions) -> tuple[Column, Co
 def extract_articles(df: DataFrame, html: str = "html", url: str = "url", options: WebOptions = WebOptions(), strict: bool = False) -> DataFrame:
     """The input's columns but the page, with ``article`` and ``error``, one of which is null."""
     kept = [c for c in df.columns if c not in (html, "article", "error")]
-    rows = df.select(*kept, F.coalesce(F.col(html), F.lit(b"")).alias("_html"), F.col(url).alias("_url"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    rows = df.select(whole.alias("_row"), F.coalesce(F.col(html), F.lit(b"")).alias("_html"), F.col(url).alias("_url"))
     size = F.octet_length("_html").cast("bigint")
     bad_url, large = url_host(F.col("_url")).isNull(), size > options.max_input_bytes
     rows = rows.withColumn("_size", size).withColumn("_page", read_page(F.when(~bad_url & ~large, F.col("_html")), options))
@@ -61,7 +62,7 @@ def extract_articles(df: DataFrame, html: str = "html", url: str = "url", option
     out = rows.withColumn("error", failure).withColumn("article", F.when(F.col("error").isNull(), F.col("_article")))
     if strict:
         out = out.withColumn("article", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error.code"), F.lit(": "), F.col("error.message"))).cast(ARTICLE)).otherwise(F.col("article")))
-    return out.select(*kept, "article", "error")
+    return out.select(*(F.col("_row")[c].alias(c) for c in kept), "article", "error")
 
 
 def explode_blocks(articles: DataFrame, keys: list[str]) -> DataFrame:

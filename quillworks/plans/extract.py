@@ -43,7 +43,9 @@ def extract(df: DataFrame, content: str = "content", name: str = "file_name", ur
     Null content counts as empty.  Columns of the input named document or error are replaced.
     """
     kept = [c for c in df.columns if c not in (content, "document", "error")]
-    rows = df.select(*kept, F.coalesce(F.col(content), F.lit(b"")).alias("_content"), F.col(name).alias("_name"), (F.col(url) if url else F.lit(None).cast("string")).alias("_url"))
+    # The input's own columns travel in one struct, so that none can clash with a working column.
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    rows = df.select(whole.alias("_row"), F.coalesce(F.col(content), F.lit(b"")).alias("_content"), F.col(name).alias("_name"), (F.col(url) if url else F.lit(None).cast("string")).alias("_url"))
     size = F.octet_length("_content").cast("bigint")
     too_large = size > options.max_input_bytes
     named = registry.by_name(F.coalesce(F.col("_name"), F.col("_url")))
@@ -71,7 +73,7 @@ def extract(df: DataFrame, content: str = "content", name: str = "file_name", ur
     out = rows.withColumn("error", failure).withColumn("document", F.when(F.col("error").isNull(), document))
     if strict:
         out = out.withColumn("document", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error.code"), F.lit(": "), F.col("error.message"))).cast(DOCUMENT)).otherwise(F.col("document")))
-    return out.select(*kept, "document", "error")
+    return out.select(*(F.col("_row")[c].alias(c) for c in kept), "document", "error")
 
 
 def _with_text(rows: DataFrame, o: ExtractOptions, own: dict) -> DataFrame:
