@@ -15,7 +15,7 @@ nothing but doubles goes to the script most such letters of the whole text have.
 what a reader sees, so texts that look the same come out the same.
 
 Defined results: null stays null; empty stays empty; a text of invisible characters comes out
-empty; a repeated key keeps one text; rows with a null key are left out; other columns are ignored.
+empty; repeated rows stay; rows with a null key are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def normalize_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = df.select(*keys, F.col(text).alias("text")).dropna(subset=keys).withColumn("home", _home()).withColumn("odd", F.coalesce(_is_odd(), F.lit(False)))
     found = F.when(F.col("home") == "C", F.regexp_extract_all("text", F.lit(_CHUNK["C"]), F.lit(0))).when(F.col("home") == "G", F.regexp_extract_all("text", F.lit(_CHUNK["G"]), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_CHUNK["L"]), F.lit(0)))
     # The odd texts are used three times; they are kept in the shared folder.
-    odd = checkpointed(rows.filter("odd").dropDuplicates(keys).select(*keys, "text", "home", found.alias("chunks")))
+    odd = checkpointed(rows.filter("odd").select(*keys, "text", "home", found.alias("chunks")))
     each = odd.select(*keys, "home", F.posexplode("chunks").alias("at", "chunk")).withColumn("cid", F.md5(F.concat("home", "chunk")))
     normal = normal_chunks(each.select("cid", "home", "chunk").dropDuplicates(["cid"]))
     back = each.drop("home", "chunk").join(normal, "cid", "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))

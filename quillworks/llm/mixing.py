@@ -45,10 +45,14 @@ def measured(df: DataFrame, item_id: str, text: str, source: str, ranks: str = D
     return checkpointed(one.filter("n_tokens > 0"))
 
 
-def _running(df: DataFrame, key: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Running sums of ``value`` by ``key`` in the order (bucket, order), without a task per key."""
+def _running(df: DataFrame, key: list[str], bucket: str, order: list[str], value: str, out: str, most: int | None = None) -> DataFrame:
+    """Running sums of ``value`` by ``key`` in the order (bucket, order), without a task per key.
+
+    With ``most``, buckets that begin beyond that sum are dropped before any of their rows is sorted.
+    """
     sums = df.groupBy(*key, bucket).agg(F.sum(value).alias("_s"))
     before = sums.withColumn("_before", F.sum("_s").over(W.partitionBy(*key).orderBy(bucket)) - F.col("_s")).drop("_s")
+    before = before.filter(F.col("_before") <= most) if most is not None else before
     inside = F.sum(value).over(W.partitionBy(*key, bucket).orderBy(*order))
     # Sources are bounded by the rows of the target table, buckets by BUCKETS: the hint is safe.
     return df.join(F.broadcast(before), [*key, bucket]).withColumn(out, F.col("_before") + inside).drop("_before")
@@ -71,10 +75,11 @@ def mix_sources(df: DataFrame, targets: DataFrame, item_id: str, text: str, sour
     mixed = uses.withColumn("_h", F.xxhash64("item_id", "use_no", F.lit(seed))).withColumn("_b", (F.col("use_no") * BUCKETS + F.pmod(F.shiftright("_h", 20), F.lit(BUCKETS))).cast("bigint"))
     mixed = _running(mixed, ["source"], "_b", ["_h", "item_id"], "n_tokens", "_sum").withColumn("finish", F.col("_sum") / F.col("share"))
     mixed = mixed.select("item_id", "source", "use_no", "n_tokens", "finish")
-    # A finish time is below the sum of all tokens over the smallest share, and even in between.
+    # Even steps up to where the budget ends if no source runs out, steps of a hundredth of their size beyond.
     width = max(1.0, budget / max(room["s"] or 1.0, 1e-12) / BUCKETS)
-    mixed = mixed.withColumn("_f", F.least(F.floor(F.col("finish") / width), F.lit(BUCKETS * 4)).cast("bigint")).withColumn("_all", F.lit(0))
-    mixed = _running(mixed, ["_all"], "_f", ["finish", "source", "item_id", "use_no"], "n_tokens", "place").filter(F.col("place") <= budget)
+    step = F.col("finish") / width
+    mixed = mixed.withColumn("_f", F.when(step < BUCKETS, F.floor(step)).otherwise(BUCKETS + F.floor(F.log2(step / BUCKETS) * 70)).cast("bigint")).withColumn("_all", F.lit(0))
+    mixed = _running(mixed, ["_all"], "_f", ["finish", "source", "item_id", "use_no"], "n_tokens", "place", most=budget).filter(F.col("place") <= budget)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.select("item_id", "source", "use_no", "n_tokens", "finish", "place").repartitionByRange(n, "place").sortWithinPartitions("place")
 
