@@ -6,8 +6,9 @@ calibrated for each kind on held-out examples select, and of overlapping selecti
 
 The trees are trained on the driver on labelled examples from ``pii_examples`` (``EXAMPLES`` texts,
 made by templates, so the bound is that number).  How name-like a word is comes from the corpus itself:
-a sample of at most about ``SAMPLE`` documents, by hash of the text, gives for each word how often it
-stands where only names stand (after a title, "signed by", ...).  Everything else covers all rows.
+all its texts give for each word how often it stands where only names stand (after a title, "signed
+by", ...).  A lexicon of up to ``MOST_WORDS`` words goes to every worker; a larger one stays
+distributed, and each text is joined with its own words of it.  Both give the same results.
 
 Defined results: null text stays null without spans; empty texts and texts without candidates come
 back unchanged; repeated rows stay; spans never overlap; other columns are ignored.
@@ -25,8 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillworks.llm.boost import Boosted, calibrated_threshold
+from quillworks.session import checkpointed
 
-EXAMPLES, SAMPLE = 2400, 4000
+EXAMPLES, MOST_WORDS = 2400, 200_000
+#: Words counted in a worker before their counts are passed on.
+COUNTED = 100_000
 #: Share of its uses that a word has in certain names, for the lexicon to hold it.
 LEAST_RATIO = 0.08
 KINDS = ("email", "phone", "idnum", "address", "name")
@@ -73,6 +77,7 @@ _WORDS = {
 }
 _BEFORE = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)", re.I) for k, v in _WORDS.items()}
 _CLEAN = re.compile(r"\W+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 N_FEATURES = 56
 
 
@@ -81,6 +86,13 @@ _CUE_ENDS = ("signed by", "written by", "posted by", "reported by", "photo by",
 _TITLES = {"mr", "mrs", "ms", "dr", "prof", "sr", "sra", "mme", "mlle", "herr", "frau", "señor", "señora", "monsieur", "madame", "senhor", "senhora", "г-н", "г-жа"}
 
 
+_CERTAIN = re.compile(rf"(?:(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora)\.? |(?:signed by|posted by|written by|ask for|assinado por|firmado por|signé ?:|verfasst von|автор:|present:|thanks,) ?)({_CAP}[^\W\d_]+(?:(?:, | |-){_CAP}[^\W\d_]+)?)", re.I)
+#: How a match of it starts, in lower case; letters beyond those that match them too.
+_OPENINGS = [*(t + e for t in ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "señor", "señora") for e in (" ", ". ")), "signed by", "posted by", "written by", "ask for", "assinado por", "firmado por", "signé:", "signé :", "verfasst von", "автор:", "present:", "thanks,"]
+_FOLDED = re.compile("[\u0130\u0131\u017f\u212a\u1c80-\u1c88]")
+_USES = re.compile(r"(?<![\w@.＠+-])[^\W\d_]+(?![\w@＠]|\.\w)")
+
+
 class Lexicon:
     """How often words stand where only names stand, among their capitalised and all uses."""
 
@@ -96,19 +108,21 @@ class Lexicon:
 
 def name_counts(texts: list[str]) -> tuple[Counter, Counter]:
     """How often each word stands in certain names, and at all outside addresses of mail and hosts."""
-    strong, every = Counter(), Counter()
+    strong, every, parts = Counter(), Counter(), Counter()
     for text in texts:
-        for w in re.findall(r"(?<![\w@.＠+-])[^\W\d_]+(?![\w@＠]|\.\w)", text):
-            every[w.casefold()] += 1
+        parts.update(text.split())  # no use goes across white space, so each different part is read once
         for spot, _, _ in certain_names(text):
             for w in re.findall(r"[^\W\d_]{2,}", spot):
                 strong[w.casefold()] += 1
+    for part, n in parts.items():
+        for w in _USES.findall(part):
+            every[w.casefold()] += n
     return strong, every
 
 
 def certain_names(text: str) -> Iterator[tuple[str, int, str]]:
     """Spans where hardly anything but a name stands: after titles and name cues, and in contact lines."""
-    for m in re.finditer(rf"(?:(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora)\.? |(?:signed by|posted by|written by|ask for|assinado por|firmado por|signé ?:|verfasst von|автор:|present:|thanks,) ?)({_CAP}[^\W\d_]+(?:(?:, | |-){_CAP}[^\W\d_]+)?)", text, re.I):
+    for m in _cued(text):
         if m.group(1)[0].isupper():
             yield m.group(1), m.start(1), "cue"
     for m in _fields(text):
@@ -117,6 +131,24 @@ def certain_names(text: str) -> Iterator[tuple[str, int, str]]:
             yield m.group(2), m.start(2), "field"
 
 
+def _cued(text: str) -> Iterator[re.Match]:
+    """What ``_CERTAIN.finditer`` gives, tried only where the text has one of its openings."""
+    small = text.lower()
+    if len(small) != len(text) or _FOLDED.search(text):  # other letters than the lower-case ones can match
+        yield from _CERTAIN.finditer(text)
+        return
+    starts, last = set(), 0
+    for x in _OPENINGS:
+        at = small.find(x)
+        while at >= 0:
+            starts.add(at)
+            at = small.find(x, at + 1)
+    for at in sorted(starts):
+        if at >= last and (m := _CERTAIN.match(text, at)):
+            yield m
+            last = m.end()
+
+
 def _flag(x) -> float:
     return 1.0 if x else 0.0
 
@@ -319,13 +351,14 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
 
 
-def _batches(keys: list[str], lexicon: Lexicon, trees: Boosted, thresholds: dict[str, float], with_text: bool):
+def _batches(keys: list[str], lexicon: Lexicon | None, trees: Boosted, thresholds: dict[str, float], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = b.column("text").to_pylist()
-                found = find_batch(texts, lexicon, trees, thresholds)
+                known = lexicon if lexicon is not None else Lexicon({w["word"]: w["ratio"] for words in b.column("words").to_pylist() for w in words or []})
+                found = find_batch(texts, known, trees, thresholds)
                 spans = pa.array([[{"kind": k, "start_pos": s + 1, "end_pos": e} for s, e, k in f] for f in found], _SPAN)
                 text = [pa.array([None if t is None else redacted(t, f) for t, f in zip(texts, found)], pa.string())] if with_text else []
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *text, spans], [*keys, *["redacted"] * with_text, "spans"])
@@ -333,32 +366,73 @@ def _batches(keys: list[str], lexicon: Lexicon, trees: Boosted, thresholds: dict
     return run
 
 
-def corpus_lexicon(df: DataFrame, text: str, sample: int = SAMPLE) -> Lexicon:
-    """The lexicon of about ``sample`` texts, chosen by hash, so the sample is bounded at any size."""
-    texts = df.select(F.col(text).alias("text")).filter("text is not null")
-    n = texts.count()
-    if not n:
-        return Lexicon({})
-    share = min(1_000_000, -(-sample * 1_000_000 // n))
+def corpus_words(df: DataFrame, text: str) -> DataFrame:
+    """``word, ratio``: the words of the lexicon, counted over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            strong, every = name_counts(b.column("text").to_pylist())
+        strong, every = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
             words = list(every.keys() | strong.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([strong[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64())], ["word", "strong", "every"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([strong[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64())], ["word", "strong", "every"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                s, e = name_counts(whole.column("text").slice(at, 500).to_pylist())
+                strong.update(s)
+                every.update(e)
+                if len(every) > COUNTED:
+                    yield counted()
+                    strong, every = Counter(), Counter()
+        yield counted()
+
+    counts = df.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(count, "word string, strong bigint, every bigint")
+    sums = counts.groupBy("word").agg(F.sum("strong").alias("strong"), (F.sum("every") + 1).alias("every")).filter("strong >= 2")
+    return checkpointed(sums.select("word", (F.col("strong") / F.col("every")).alias("ratio")).filter(F.col("ratio") >= LEAST_RATIO))
+
+
+def lookups(text: str) -> set[str]:
+    """All words of a text that candidates and features can look up in a lexicon."""
+    small = text.casefold()
+    out = {w for w in _CLEAN.split(small) if len(w) > 1}
+    for w in _LETTERS.findall(small) + [w.casefold() for w in _LETTERS.findall(text)]:
+        out.add(w)
+        if len(w) > 20:  # features see 24 characters after a span and 34 before it
+            out |= {w[:22], w[:23], w[-32:], w[-33:]}
+    return out
+
+
+def own_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ``words``, the part of the lexicon that each text can look up.
+
+    Texts meet their words by hash; where two texts share one, each has the words of both, which
+    changes nothing.
+    """
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                got = [(h, w) for h, t in zip(b.column("same").to_pylist(), b.column("text").to_pylist()) for w in lookups(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.int64()), pa.array([w for _, w in got], pa.string())], ["same", "word"])
 
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(count, "word string, strong bigint, every bigint")
-    found = some.groupBy("word").agg(F.sum("strong").alias("strong"), (F.sum("every") + 1).alias("every")).filter(F.col("strong") >= 2).withColumn("ratio", F.col("strong") / F.col("every")).filter(F.col("ratio") >= LEAST_RATIO)
-    return Lexicon({r["word"]: r["ratio"] for r in found.collect()})  # words of the sample only
+    rows = rows.withColumn("same", F.xxhash64("text"))
+    pairs = rows.filter("text is not null").select("same", "text").mapInArrow(looked_up, "same bigint, word string")
+    own = pairs.join(words, "word").groupBy("same").agg(F.collect_set(F.struct("word", "ratio")).alias("words"))
+    return rows.join(own, "same", "left").drop("same")
 
 
-def find_personal(df: DataFrame, keys: list[str], text: str, with_text: bool = True) -> DataFrame:
+def find_personal(df: DataFrame, keys: list[str], text: str, with_text: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """``keys + redacted, spans``; spans is an array of (kind, start_pos, end_pos), positions from 1."""
-    if taken := {"text", "redacted", "spans"} & set(keys):
+    if taken := {"text", "redacted", "spans", "words", "same"} & set(keys):
         raise ValueError(f"key columns can't be named {sorted(taken)}")
-    lexicon = corpus_lexicon(df, text)
+    words = corpus_words(df, text)
+    few = words.limit(most_words + 1).collect()  # bounded by the parameter
+    lexicon = Lexicon({r["word"]: r["ratio"] for r in few}) if len(few) <= most_words else None
     trees, thresholds = model()
     rows = df.select(*keys, F.col(text).alias("text"))
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *["redacted string"] * with_text, "spans array<struct<kind:string,start_pos:bigint,end_pos:bigint>>"])
+    if lexicon is None:
+        rows = own_words(rows, words)
     return rows.mapInArrow(_batches(keys, lexicon, trees, thresholds, with_text), schema)

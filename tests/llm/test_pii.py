@@ -39,3 +39,16 @@ def test_frame(spark):
     assert got[None].redacted == got[100].redacted and got[101].redacted is None and got[102].redacted == "" and got[103].spans == []
     assert [lines[s.start_pos - 1 : s.end_pos] for s in got[100].spans][1] == "+49 30 23125 802"
     assert P.find_personal(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_lexicon_counts_all_texts(spark):
+    """A name with two certain uses among many texts is known, with the lexicon at hand or distributed."""
+    rows = [(i, f"The {i} pears were ripe and cheap at the market stall.") for i in range(9000)]
+    rows += [(-1, "The letter was signed by Quorra Zelmund."), (-2, "Signed by Quorra Zelmund at noon."), (-3, "At dusk Quorra Zelmund rowed home."), (-4, None), (-5, "It was signed by Mara Venn."), (-6, "It was signed by Mara Venn.")]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(4)
+    words = {r.word: r.ratio for r in P.corpus_words(df, "t").collect()}
+    assert words == {w: 2 / 4 for w in ("quorra", "zelmund")} | {w: 2 / 3 for w in ("mara", "venn")}
+    whole = sorted((r.k, [tuple(s) for s in r.spans]) for r in P.find_personal(df, ["k"], "t", False).collect())
+    parts = sorted((r.k, [tuple(s) for s in r.spans]) for r in P.find_personal(df, ["k"], "t", False, most_words=1).collect())
+    assert whole == parts and len(whole) == len(rows)
+    assert dict(whole)[-3] == [("name", 9, 23 - 1)]
