@@ -9,8 +9,9 @@ heading, lies in a box of furniture, or stands before the title goes with it; an
 the article whose like isn't found at page ends (a refrain, a salt-and-flour line) stay.
 Wording that is furniture on any host, such as a cookie notice, counts even on a host's only page.
 
-Hot hosts are split by hash into shards of about ``SHARD`` pages; a substring of a share s of the host's
-pages comes up about ``s * SHARD`` times in every shard.  No group is larger than that.
+Hot hosts are split by hash into shards of about ``SHARD`` pages, so no group is larger than that.  Their
+counts are joined: each shard gives digests of its lines with their pages, then of its repeated lines
+with the pages where they stand at an end; the tests apply to the sums of the host, as if it were one group.
 
 Defined results: pages with null id or without lines give nothing; null and blank lines are no pieces;
 repeated deliveries of a page count once; null hosts form a group of their own; other columns are ignored.
@@ -18,6 +19,7 @@ repeated deliveries of a page count once; null hosts form a group of their own;
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter, defaultdict
@@ -25,14 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillworks.llm.encoding import SUSPECT, repair
+from quillworks.session import checkpointed
 
 _GARBLED = re.compile(SUSPECT.replace("\\p{L}", "[^\\W\\d_]"))
 SHARD, DEPTH = 512, 64
+#: The shard of hosts that are one group.
+WHOLE = -1
 #: A line is repeated if its whole is on at least so many distinct pages of its group.
 MIN_PAGES = 3
+#: Share of its pages on which a repeated line stands at an end, for its like to be furniture.
+LIKE_ENDS = 0.8
 
 # Wording of page furniture.  Navigation entries, each language in a row.
 NAVIGATION = """home|contact|weather|basket|account|gallery|archive|jobs|opinion|shop|travel|news|videos|events|culture|help|about|about us|sign in|log in|menu|search|subscribe|sport|business|world|politics|science|health|tech|forum|blog|faq|sitemap
@@ -278,8 +285,8 @@ def _masked(text: str) -> str:
     return re.sub(r"\d+", "#", text.lower())
 
 
-def _like_ends(pages: list[list[tuple]], seen: list[list[int]]) -> set[str]:
-    """Repeated lines that mostly stand in the repeated runs at page ends, not amid unique lines."""
+def _end_counts(pages: list[list[tuple]], seen: list[list[int]]) -> tuple[Counter, Counter]:
+    """On how many pages each repeated line is, and on how many of them only in the repeated runs at page ends."""
     ends, every = Counter(), Counter()
     for lines, counts in zip(pages, seen):
         said = [c > 0 or furniture_wording(t) for (_, _, _, t), c in zip(lines, counts)]
@@ -294,7 +301,13 @@ def _like_ends(pages: list[list[tuple]], seen: list[list[int]]) -> set[str]:
                 at_ends[t] = at_ends.get(t, True) and (i < max(first, title) or i > tail)
         every.update(at_ends.keys())
         ends.update(t for t, e in at_ends.items() if e)
-    return {t for t, n in every.items() if ends[t] >= 0.8 * n and n >= MIN_PAGES}
+    return every, ends
+
+
+def _like_ends(pages: list[list[tuple]], seen: list[list[int]]) -> set[str]:
+    """Repeated lines that mostly stand in the repeated runs at page ends, not amid unique lines."""
+    every, ends = _end_counts(pages, seen)
+    return {t for t, n in every.items() if ends[t] >= LIKE_ENDS * n and n >= MIN_PAGES}
 
 
 _SCHEMA = "tbl string, rec_id bigint, kept array<bigint>, furniture array<bigint>"
@@ -308,17 +321,56 @@ def _readable(source: str) -> str:
     return mended if mended.count("\n") == source.count("\n") else source
 
 
-def _group_rows(group: list[tuple]) -> list[tuple]:
-    once = {(g[0], g[1]): g for g in reversed(group)}
-    keys = list(once)
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _line_digest(line: str) -> bytes:
+    """Equal for lines that ``repeated_lines`` takes as equal."""
+    return _digest("\0".join("#" if w[0].isdigit() else w for w in _TOKENS.findall(line.lower())))
+
+
+def _parsed(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
+    """Keys and lines of the pages of a group."""
+    once = {(g[0], g[1]): g for g in reversed(group) if g[6] is None}
     pages = []
     for g in once.values():
         if g[4] is not None:
             pages.append(source_lines(_readable(g[4])))
         else:
             pages.append([(i, b["kind"] or "", "", t) for i, b in enumerate(g[5] or [], 1) if b and (t := plain(b["text"] or ""))])
-    seen = repeated_lines([[x[3] for x in lines] for lines in pages])
-    like = _like_ends(pages, seen)
+    return list(once), pages
+
+
+def _host_seen(pages: list[list[tuple]], group: list[tuple]) -> list[list[int]]:
+    """What ``repeated_lines`` gives for the whole host."""
+    total = {g[7]: g[8] for g in group if g[6] == "line"}
+    return [[total.get(_line_digest(x[3]), 0) for x in lines] for lines in pages]
+
+
+def _line_rows(group: list[tuple]) -> list[tuple]:
+    """``key, n, ends`` of each different line of a shard."""
+    _, pages = _parsed(group)
+    counts = repeated_lines([[x[3] for x in lines] for lines in pages], 1)
+    return [(d, n, 0) for d, n in {_line_digest(x[3]): n for lines, c in zip(pages, counts) for x, n in zip(lines, c)}.items()]
+
+
+def _end_rows(group: list[tuple]) -> list[tuple]:
+    """``key, n, ends`` of each line of a shard that the host repeats."""
+    _, pages = _parsed(group)
+    every, ends = _end_counts(pages, _host_seen(pages, group))
+    return [(_digest(t), n, ends[t]) for t, n in every.items()]
+
+
+def _group_rows(group: list[tuple]) -> list[tuple]:
+    keys, pages = _parsed(group)
+    if group[0][3] == WHOLE:
+        seen = repeated_lines([[x[3] for x in lines] for lines in pages])
+        like = _like_ends(pages, seen)
+    else:
+        seen = _host_seen(pages, group)
+        ends = {g[7] for g in group if g[6] == "end"}
+        like = {t for lines, c in zip(pages, seen) for x, n in zip(lines, c) if n and _digest(t := _masked(x[3])) in ends}
     out = []
     for key, lines, counts in zip(keys, pages, seen):
         marks = furniture_of(lines, counts, like)
@@ -326,34 +378,71 @@ def _group_rows(group: list[tuple]) -> list[tuple]:
     return out
 
 
-def _separate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["tbl", "rec_id", "kept", "furniture"]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each host and shard."""
     group: list[tuple] = []
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_group_rows(group)), types)], names)
-
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if group and (row[2], row[3]) != (group[0][2], group[0][3]):
-                yield done()
+                yield group
                 group = []
             group.append(row)
     if group:
-        yield done()
+        yield group
+
+
+def _separate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for group in _groups(batches):
+        if rows := _group_rows(group):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["tbl", "rec_id", "kept", "furniture"])
+
 
+def _counted(rows_of):
+    types = [pa.binary(), pa.int64(), pa.int64()]
 
-def separate_pages(pages: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            if rows := rows_of(group):
+                at = [pa.array([group[0][2]] * len(rows), pa.string()), pa.array([group[0][3]] * len(rows), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*at, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["host", "shard", "key", "n", "ends"])
+
+    return run
+
+
+def _host_sums(spread: DataFrame, rows_of) -> DataFrame:
+    """``host, shard, key, n, ends``: what each shard counted, with the sums of its host."""
+    host = W.partitionBy("host", "key")  # a row for each shard at most
+    counts = spread.mapInArrow(_counted(rows_of), "host string, shard int, key binary, n bigint, ends bigint")
+    return counts.select("host", "shard", "key", F.sum("n").over(host).alias("n"), F.sum("ends").over(host).alias("ends")).filter(F.col("n") >= MIN_PAGES)
+
+
+def separate_pages(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """``tbl, rec_id, kept, furniture``: positions of the article's pieces and of page furniture.
 
     ``pages`` has tbl, rec_id, host, source (page source, lines ending at LF) and blocks (an array of
     structs with kind and text); one of the two is null.
     """
     pages = pages.filter("tbl is not null and rec_id is not null").select("tbl", F.col("rec_id").cast("bigint").alias("rec_id"), F.coalesce("host", F.lit("")).alias("host"), "source", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"))).alias("blocks"))
-    # Hosts with more pages than a shard holds: at most one in SHARD pages, so the table is small.
-    hot = pages.groupBy("host").count().filter(F.col("count") > SHARD).select("host", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
-    pages = pages.join(F.broadcast(hot), "host", "left").withColumn("shard", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64("tbl", "rec_id"), F.col("shards"))).cast("int"))
+    # Hosts with more pages than a shard holds: at most one in ``shard`` pages, so the table is small.
+    hot = pages.groupBy("host").count().filter(F.col("count") > shard).select("host", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
+    place = F.when(F.col("shards").isNull(), WHOLE).otherwise(F.pmod(F.xxhash64("tbl", "rec_id"), F.col("shards"))).cast("int")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pages.select("tbl", "rec_id", "host", "shard", "source", "blocks").repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "tbl", "rec_id")
-    return spread.mapInArrow(_separate, _SCHEMA)
+
+    def placed(how: str) -> DataFrame:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("what", "string"), ("key", "binary"), ("n", "bigint"))]
+        return pages.join(F.broadcast(hot), "host", how).select("tbl", "rec_id", "host", place.alias("shard"), "source", "blocks", *nothing)
+
+    def added(sums: DataFrame, what: str) -> DataFrame:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in split.dtypes]
+        have = {"host": F.col("host"), "shard": F.col("shard"), "what": F.lit(what), "key": F.col("key"), "n": F.col("n")}
+        return sums.select(*(have.get(c, none).alias(c) for (c, _), none in zip(split.dtypes, nothing)))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        # The last term makes each pass take the same one of a page's repeated deliveries.
+        return rows.repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "tbl", "rec_id", F.xxhash64("source", "blocks"))
+
+    split = placed("inner")
+    lines = checkpointed(added(_host_sums(spread(split), _line_rows), "line"))
+    ends = added(_host_sums(spread(split.unionByName(lines)), _end_rows).filter(F.col("ends") >= LIKE_ENDS * F.col("n")), "end")
+    return spread(placed("left").unionByName(lines).unionByName(ends)).mapInArrow(_separate, _SCHEMA)

@@ -59,3 +59,19 @@ def test_frame(spark):
         assert 3 in r.kept and 4 in r.kept and 5 in r.kept and {1, 7, 8, 9} <= set(r.furniture)
     assert got[("web_articles", 99)].kept == [] and got[("extracted_docs", 5)].kept == [1]
     assert separate_pages(df.limit(0)).count() == 0
+
+
+def test_shards_give_what_one_group_gives(spark):
+    """A line on 5 of 40 pages is seen as repeated, however the host is split."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(40):
+        blocks = [("paragraph", f"Walls of {word()} ask {k}"), ("heading:1", f"Title {word()} {word()}"), ("paragraph", f"The {word()} told a long story about the {word()} mill."), ("paragraph", "Farinha, sal"), ("paragraph", f"Another {word()} sentence follows, as long as the {word()}.")]
+        blocks += [("paragraph", "© 2020 Site")] * (k % 13 == 0) + [("paragraph", "Odd words of the house")] * (k % 13 == 0 or k == 5) + [("paragraph", f"Lines {k} of the desk")] * (k % 2) + [("paragraph", f"{word()} {word()}")] * (k % 3 == 0)
+        rows.append(("web_articles", k, "h", None, blocks))
+    rows += rows[:3] + [("web_articles", 100, "small", None, rows[0][4])]
+    df = spark.createDataFrame(rows, "tbl string, rec_id long, host string, source string, blocks array<struct<kind:string,text:string>>")
+    one, many = ({(r.tbl, r.rec_id): (r.kept, r.furniture) for r in separate_pages(df, shard).collect()} for shard in (512, 4))
+    assert one == many and len(many) == 41
+    assert 6 in many["web_articles", 5][1]
