@@ -7,7 +7,8 @@ then read as runs: repeated runs at its ends, and unique runs, which are kept.
 furniture carry unique lines along (titles of other articles, breadcrumbs), so what follows a furniture
 heading, lies in a box of furniture, or stands before the title goes with it; and repeated lines amid
 the article whose like isn't found at page ends (a refrain, a salt-and-flour line) stay.
-Wording that is furniture on any host, such as a cookie notice, counts even on a host's only page.
+Of the outer containers of page source, the heaviest stays, and any other with a unique line that only an
+article has.  Wording that is furniture on any host, such as a cookie notice, counts even on a host's only page.
 
 Hot hosts are split by hash into shards of about ``SHARD`` pages, so no group is larger than that.  Their
 counts are joined: each shard gives digests of its lines with their pages, then of its repeated lines
@@ -256,8 +257,9 @@ def furniture_of(lines: list[tuple[int, str, str, str]], seen: list[int], like_e
                 weight[b] += len(t) * (3 if solid[i] else 1) + (200 if k == "heading:1" else 0) + (150 if ":article" in b or ":main" in b else 0) - (400 if b.split(":")[1] in ("nav", "footer", "header", "aside") else 0)
         if weight:
             main = max(weight, key=lambda b: (weight[b], -int(b.split(":")[0])))
+            stay = {main} | {x[2] for x, unique in zip(lines, solid) if unique}
             for i, (_, _, b, _) in enumerate(lines):
-                if b and b != main:
+                if b and b not in stay:
                     out[i] = True
             return out
     title = next((i for i in range(n) if lines[i][1] == "heading:1" and not said[i]), None)
