@@ -9,8 +9,8 @@ that repaired a text's clear lines is then tried on its short, unclear ones.
 Only texts with a suspicious character sequence reach Python.
 
 Defined results: null, empty and plain texts come back as they are, not flagged; a text with
-replacement characters, or control characters that no repair explains, is flagged, with whatever
-could be repaired; row count, ties and repeated rows stay as in the input.
+replacement characters, control characters or several UTF-8 sequences that no repair explains is
+flagged, with whatever could be repaired; row count, ties and repeated rows stay as in the input.
 """
 
 from __future__ import annotations
@@ -58,6 +58,8 @@ SIGNS = [
 #: Signs that make no text suspicious by themselves: letters of two scripts side by side.
 MIXED = [("[A-Za-zÀ-ÿ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÿ]", 2.0), ("[A-Za-zÀ-ÿЀ-ӿ][一-鿿]|[一-鿿][A-Za-zÀ-ÿЀ-ӿ]", 3.0)]
 _SIGNS = [(re.compile(p), c) for p, c in SIGNS + MIXED]
+#: So many UTF-8 sequences read as letters are garbling even where no repair is found; one may be a letter before a closing sign.
+CLEAR, _CLOSING = 2, ("»", "›", "”", "’", "…")
 #: The same for the JVM; [^\W\d_] is written out there.
 SUSPECT = "|".join(p.replace("[^\\W\\d_]", "\\p{L}") for p, _ in SIGNS if "[a-zà" not in p) + "|(?<=[a-zà-öø-ÿа-яё])[À-ÖØ-ÞА-ЯЁŽŠŸŒ]"
 _RUN = re.compile("[^\x00-\x7f]+")
@@ -134,9 +136,9 @@ def repair(text: str) -> tuple[str, bool, list[str]]:
             if pair:
                 lines[k], changed = new, True
                 pairs[pair] += had - c
+        used.update(f"{wrong}>{right}" for wrong, right in pairs)
         if pairs and pairs.most_common(1)[0][1] * 2 > sum(pairs.values()):
             (wrong, right), _ = pairs.most_common(1)[0]
-            used[f"{wrong}>{right}"] += 1
             for k, line in enumerate(lines):
                 if not line.isascii() and (new := _by_runs(line, wrong) if right == "utf-8" and wrong not in _MULTI else again(line, wrong, right)) and cost(new) < cost(line) + (right in ("cp1251", "koi8-r", "cp866", "mac_cyrillic", "cp932", "euc_jp")) * 0.5 and _same_script(new, lines):
                     lines[k] = new
@@ -144,6 +146,7 @@ def repair(text: str) -> tuple[str, bool, list[str]]:
             break
     out = "\n".join(lines)
     left = bool(re.search("[\x80-\x84\x86-\x9f�]", out))
+    left = left or sum(not m.group().endswith(_CLOSING) for p, _ in _SIGNS[1:3] for m in p.finditer(out)) >= CLEAR
     return out, bool(used) or left, list(used)
 
 

@@ -40,6 +40,18 @@ def test_part_of_a_text_and_lost_characters():
     assert repair("caf� au lait")[1]
 
 
+def test_parts_garbled_in_different_ways():
+    """No pair has most of the gain, and the text is flagged with both."""
+    line = "Straße für alle"
+    fixed, garbled, layers = repair("\n".join(line.encode().decode(c) for c in ("cp1252", "mac_roman", "cp437")))
+    assert fixed == "\n".join([line] * 3) and garbled and len(layers) == 3
+
+
+def test_unrecoverable_text_is_flagged():
+    assert repair("CORAÇÃO «MANHû e «IRMû.")[1] is False
+    assert repair("Ð„\u2603Ð‰\u2603")[1]
+
+
 def test_frame(spark):
     bad = GOOD[0].encode().decode("latin-1")
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, bad, "c"), (3, bad, "c"), (4, "x" * 100_000, "d"), (None, "ok", "e")], "id int, t string, garbled2 string")
