@@ -52,3 +52,8 @@ def test_lexicon_counts_all_texts(spark):
     parts = sorted((r.k, [tuple(s) for s in r.spans]) for r in P.find_personal(df, ["k"], "t", False, most_words=1).collect())
     assert whole == parts and len(whole) == len(rows)
     assert dict(whole)[-3] == [("name", 9, 23 - 1)]
+
+
+def test_addresses_beside_a_dotted_capital_i():
+    text = "In İstanbul, deliver to 12 Mill Street today."
+    assert "12 Mill Street" in {text[s:e] for s, e, k in P.candidates(text, P.Lexicon({})) if k == "address"}
