@@ -178,7 +178,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                     out.append((m.start(), m.start() + m.group().rindex(" "), "idnum"))
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
     ratio = lexicon.ratio
-    if len(lexicon.sure.intersection(text.split())) > 1:  # names in small letters
+    if not lexicon.sure.isdisjoint(_CLEAN.split(text)):  # names in small letters
         words = [(m.start(), m.end(), m.group()) for m in _LOWER.finditer(text)]
         for (s, e, a), (s2, e2, b) in zip(words, words[1:]):
             if s2 - e <= 2 and (a in lexicon.sure or b in lexicon.sure) and (a in lexicon.sure) + (b.split("-")[0] in lexicon.sure) == 2:

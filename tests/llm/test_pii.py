@@ -57,3 +57,9 @@ def test_lexicon_counts_all_texts(spark):
 def test_addresses_beside_a_dotted_capital_i():
     text = "In İstanbul, deliver to 12 Mill Street today."
     assert "12 Mill Street" in {text[s:e] for s, e, k in P.candidates(text, P.Lexicon({})) if k == "address"}
+
+
+def test_small_names_that_touch_punctuation():
+    text = "yesterday we met mara tellberg, and it rained."
+    got = P.candidates(text, P.Lexicon({"mara": 0.5, "tellberg": 0.5}))
+    assert "mara tellberg" in {text[s:e] for s, e, k in got if k == "name"}
