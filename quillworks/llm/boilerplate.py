@@ -1,21 +1,26 @@
 """Page boilerplate mixed with main content, by a suffix array over the pages of each host.
 
 The token streams of a host's pages are concatenated, line breaks and page ends being tokens too, and
-their suffix array (prefix doubling) with its longest common prefixes gives the substrings that
-recur on distinct pages.  Lines that such substrings cover from break to break are repeated.  A page is
-then read as runs: repeated runs at its ends, and unique runs, which are kept.  Runs of page
-furniture carry unique lines along (titles of other articles, breadcrumbs), so what follows a furniture
-heading, lies in a box of furniture, or stands before the title goes with it; and repeated lines amid
-the article whose like isn't found at page ends (a refrain, a salt-and-flour line) stay.
-Of the outer containers of page source, the heaviest stays, and any other with a unique line that only an
-article has.  Wording that is furniture on any host, such as a cookie notice, counts even on a host's only page.
-
-Hot hosts are split by hash into shards of about ``SHARD`` pages, so no group is larger than that.  Their
-counts are joined: each shard gives digests of its lines with their pages, then of its repeated lines
-with the pages where they stand at an end; the tests apply to the sums of the host, as if it were one group.
+their suffix array (prefix doubling) with its longest common prefixes tells for each line on how
+many distinct pages its whole, its label (up to a colon) and its opening recur.  No wording is
+listed anywhere: a host without repetition has no furniture.
+
+Lines whose whole or label recurs are covered; the others are unique, and unique sentences, code, tables,
+quotes and captions are the solid parts of the article.  What an article repeats by chance (a refrain,
+flour and salt in every recipe) is covered too, so each covered form is judged by where it
+stands on all pages of the host: outside the solid parts, or between them as a bare phrase, it is
+furniture if that holds for ``LIKELY`` of its pages.  On a page, forms of furniture are removed; unique lines go
+with them where they stand before the title, after the last solid part and the first
+furniture that follows it, or in a container without solid parts.  All other unique runs are kept.
+
+Hot hosts are split into shards of about ``SHARD`` characters, so no group is larger than that (or than
+one page).  Their counts are joined: each shard gives digests of its line forms with their pages, then of its covered
+forms with the pages where they stand as furniture; the tests apply to the sums of the host, as if it were one group.
 
 Defined results: pages with null id or without lines give nothing; null and blank lines are no pieces;
-repeated deliveries of a page count once; null hosts form a group of their own; other columns are ignored.
+repeated deliveries of a page count once, and pages of equal content count as one page of their host; a
+key delivered with different contents gives a row for each; null hosts form a group of their own;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,78 +39,37 @@ from quillworks.llm.encoding import SUSPECT, repair
 from quillworks.session import checkpointed
 
 _GARBLED = re.compile(SUSPECT.replace("\\p{L}", "[^\\W\\d_]"))
-SHARD, DEPTH = 512, 64
+SHARD, DEPTH = 2_000_000, 64
 #: The shard of hosts that are one group.
 WHOLE = -1
-#: A line is repeated if its whole is on at least so many distinct pages of its group.
+#: A line form is covered if it is on at least so many distinct pages of its host.
 MIN_PAGES = 3
-#: Share of its pages on which a repeated line stands at an end, for its like to be furniture.
-LIKE_ENDS = 0.8
-
-# Wording of page furniture.  Navigation entries, each language in a row.
-NAVIGATION = """home|contact|weather|basket|account|gallery|archive|jobs|opinion|shop|travel|news|videos|events|culture|help|about|about us|sign in|log in|menu|search|subscribe|sport|business|world|politics|science|health|tech|forum|blog|faq|sitemap
-início|cultura|notícias|previsão|loja|contato|contacto|ajuda|sobre nós|viagens|conta|entrar|esportes|desporto
-главная|магазин|о нас|новости|погода|помощь|поездки|культура|контакты|войти|спорт|форум
-startseite|kontakt|hilfe|reisen|wetter|über uns|nachrichten|termine|kultur|anmelden|warenkorb|konto|sport|suche
-inicio|tienda|ayuda|cultura|contacto|el tiempo|sobre nosotros|viajes|noticias|cuenta|entrar|deportes
-accueil|aide|contact|culture|à propos|actualités|recettes|voyages|boutique|météo|connexion|panier|compte|recherche
-en|de|fr|es|pt|ru|it|nl|pl|ja|zh"""
-_NAV = {w for row in NAVIGATION.split("\n") for w in row.split("|")}
-#: Headings of lists that lead away from the article; what follows them is furniture too.
-_LEAD = re.compile(
-    r"(?:recommended for you|related (?:stories|articles|posts|links)|popular this week|most (?:read|popular|shared)|you may also like|more (?:from|stories|on this topic)|trending|read (?:next|more)|see also on this site|"
-    r"leia também|mais lid[ao]s|relacionad[ao]s|te puede interesar|lo más leído|más leídas|lea también|также читайте|читайте также|популярное|самое читаемое|meistgelesen|mehr zum thema|lesen sie auch|das könnte sie auch interessieren|"
-    r"les plus lus|à lire aussi|vous aimerez aussi|sur le même sujet)\W*", re.I)
-_PHRASES = re.compile(
-    r"^(?:©|\(c\)|copyright\b|printed from |back to top|top of page|nach oben|haut de page|volver arriba|voltar ao topo|наверх|к началу|"
-    r"you are here\s*:|sie sind hier\s*:|vous êtes ici\s*:|está aquí\s*:|você está aqui\s*:|вы здесь\s*:|"
-    r"(?:also read|read also|read more|lea también|leia também|leia ainda|lire aussi|à lire aussi|lesen sie auch|auch lesen|читайте(?: также)?|te puede interesar|related|lea|leia|lesen|lire)\s*: |"
-    r"we use cookies|this (?:web)?site (?:uses cookies|stores (?:small files|data))|by continuing to browse|your privacy matters|we value your privacy|"
-    r"usamos cookies|este site (?:usa|guarda|utiliza)|este sitio (?:usa|guarda|utiliza)|utilizamos cookies|nous utilisons des (?:cookies|traceurs)|ce site (?:dépose|utilise)|wir verwenden cookies|diese website (?:speichert|verwendet|nutzt)|мы используем файлы|сайт сохраняет|этот сайт использует|"
-    r"advertisement|sponsored|publicidade|publicidad|publicité|anzeige|реклама|werbung|"
-    r"share (?:this|on)|compartilhar|compartir|partager|artikel teilen|teilen$|поделиться|print email|print$|"
-    r"sign up for|join our newsletter|subscribe to our|newsletter\b|boletim|assine|suscríbase|suscríbete|inscrivez-vous|abonnez-vous|newsletter bestellen|подписаться|подпишитесь|"
-    r"continue reading below|close\W*$|skip to (?:content|main)|log in or|leave a comment|\d+ comments?$|comments? \(\d+\))", re.I)
-#: Furniture that is set between the article's own lines.
-_AMID = re.compile(r"(?:share|compartilhar|compartir|partager|artikel teilen|teilen|поделиться|print email|advertisement|continue reading|publicidade|publicidad|publicité|anzeige|реклама|[^:]{2,20}\s?: |[\W\d_]+$)", re.I)
-_ENDS = re.compile(
-    r"(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|todos os direitos reservados|все права защищены)\.?$|"
-    r"is not responsible for (?:outside|external) links\.?$|(?:accept all|reject all|got it|manage preferences|settings|alle akzeptieren|ablehnen|tout accepter|refuser|aceptar todo|rechazar|aceitar tudo|recusar|принять все|отклонить)$", re.I)
-_LEGAL = {"terms", "terms of use", "privacy", "privacy policy", "imprint", "accessibility", "sitemap", "cookies", "termos", "privacidade", "privacidad", "aviso legal", "mentions légales", "confidentialité", "datenschutz", "impressum", "agb", "условия", "конфиденциальность", "legal", "contact"}
-_SPLIT = re.compile(r"\s*[|·•›»/]\s*|\s{2,}")
-_SIGNS_ONLY = re.compile(r"[\W\d_]+|(?:[A-ZА-Я]\s+){1,3}[A-ZА-Я]|-?\d+°.*", re.S)
+#: Share of its pages on which a covered form stands as furniture, for it to be furniture.
+LIKELY = 0.75
+#: Tokens of a line's opening, and the most tokens of a label before its colon.
+OPENING, LABEL = 2, 6
+
 _TOKENS = re.compile(r"\d+|[^\W\d_]+|[^\w\s]")
 _UNSEEN = re.compile("[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]")
 _SPACES = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+#: Kinds of pieces that only an article has, and kinds that say nothing.
+_OWN, _BARE_KINDS = ("code", "table", "quote", "caption", "pre"), ("paragraph", "other", "preservedContent", "")
 
 
 def plain(line: str) -> str:
     return _SPACES.sub(" ", _UNSEEN.sub("", line)).strip()
 
 
-def _listed(line: str, words: set[str]) -> bool:
-    """Whether a line is nothing but entries of a list, parted by signs or by spaces."""
-    small = line.lower()
-    parts = [p for p in _SPLIT.split(small) if p]
-    if all(p in words for p in parts):
-        return True
-    if len(parts) > 1:
-        return False
-    left = small.split(" ")
-    i = 0
-    while i < len(left):
-        for k in (3, 2, 1):
-            if " ".join(left[i : i + k]) in words:
-                i += k
-                break
-        else:
-            return False
-    return True
+def tokens(line: str) -> list[str]:
+    """Words and signs in small letters; digits count as one token, so years and counters don't hide a repetition."""
+    return ["#" if w[0].isdigit() else w for w in _TOKENS.findall(line.lower())]
 
 
-def furniture_wording(line: str) -> bool:
-    """Wording that is furniture on any host; of a plain line."""
-    return bool(_LEAD.fullmatch(line) or _PHRASES.match(line) or _ENDS.search(line) or _SIGNS_ONLY.fullmatch(line)) or len(line) <= 160 and (_listed(line, _NAV) or _listed(line, _LEGAL))
+def forms(words: list[str]) -> list[tuple[str, ...] | None]:
+    """What of a line can recur: its whole, its label if it has one, its opening."""
+    label = next((tuple(words[: i + 1]) for i in range(1, min(len(words) - 1, LABEL + 1)) if words[i] == ":"), None)
+    return [tuple(words), label, tuple(words[:OPENING])]
 
 
 def suffix_order(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -139,48 +103,48 @@ def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) ->
     return out
 
 
-def repeated_lines(pages: list[list[str]], min_pages: int = MIN_PAGES) -> list[list[int]]:
-    """For each line of each page, on how many distinct pages its whole recurs (0: fewer than min_pages).
-
-    Digits count as one token, so years and counters don't hide a repetition.
-    """
+def recurrence(pages: list[list[list[str]]], min_pages: int = MIN_PAGES) -> list[list[tuple[int, int, int]]]:
+    """For each line (as tokens) of each page, on how many distinct pages its whole, label and opening recur (0: fewer than min_pages)."""
     known: dict[str, int] = {}
     whole: dict[tuple, int] = {}  # lines beyond the array's depth are told apart by all their tokens
-    stream, starts, sizes, owner, page_of, long = [], [], [], [], [], []
+    stream, asked = [], ([], [], [], [], [])  # start, page, length, which form, long line
+    at = []
     for k, lines in enumerate(pages):
-        for i, line in enumerate(lines):
-            starts.append(len(stream))
+        for i, words in enumerate(lines):
+            start = len(stream)
             stream.append(0)
-            words = _TOKENS.findall(line.lower())
-            ids = [known.setdefault("#" if w[0].isdigit() else w, len(known) + 1) for w in words]
+            ids = [known.setdefault(w, len(known) + 1) for w in words]
             stream += ids
-            long.append(whole.setdefault(tuple(ids), len(whole)) if len(ids) + 2 > DEPTH else 0)
-            sizes.append(len(words) + 2)
-            owner.append((k, i))
-            page_of.append(k)
+            for f, form in enumerate(forms(words)):
+                if form is not None:
+                    size = len(form) + (2 if f == 0 else 1)
+                    long = whole.setdefault(tuple(ids), len(whole)) + 1 if size > DEPTH else 0
+                    for column, value in zip(asked, (start, k, min(size, DEPTH), f, long)):
+                        column.append(value)
+                    at.append((k, i, f))
         stream.append(0)
         stream.append(-1 - k)
-    out = [[0] * len(lines) for lines in pages]
-    if len(pages) < min_pages or not starts:
-        return out
+    out = [[[0, 0, 0] for _ in lines] for lines in pages]
+    if len(pages) < min_pages or not at:
+        return [[tuple(x) for x in lines] for lines in out]
     order, levels = suffix_order(np.array(stream))
     lcp = common_prefixes(order, levels)
-    line_at = np.full(len(stream), -1)
-    line_at[starts] = np.arange(len(starts))
-    where = np.flatnonzero(line_at[order] >= 0)  # suffixes that start with a line
-    lines = line_at[order[where]]
-    between = np.minimum.reduceat(np.append(lcp, 0), where)[:-1]
-    size, page = np.minimum(np.array(sizes), DEPTH)[lines], np.array(page_of)[lines]
+    place = np.empty(len(stream), dtype=np.int64)
+    place[order] = np.arange(len(stream))
+    start, page, size, form, long = (np.array(c) for c in asked)
+    where = place[start]
+    by = np.argsort(where, kind="stable")
     for n in np.unique(size):
-        group = np.concatenate([[0], np.cumsum(between < n)])
-        if n == DEPTH and whole:
-            group = np.unique(group * (len(whole) + 1) + np.where(np.array(sizes)[lines] > DEPTH, np.array(long)[lines] + 1, 0), return_inverse=True)[1]
-        pairs = np.unique(group * len(pages) + page)
-        count = np.bincount(pairs // len(pages), minlength=group.max() + 1)
-        for j in np.flatnonzero((size == n) & (count[group] >= min_pages)):
-            k, i = owner[lines[j]]
-            out[k][i] = int(count[group[j]])
-    return out
+        mine = by[size[by] == n]
+        # Suffixes fall into one group as long as their neighbours share n tokens.
+        group = np.concatenate([[0], np.cumsum(lcp < n)])[where[mine]]
+        group = np.unique((group * 3 + form[mine]) * (len(whole) + 1) + long[mine], return_inverse=True)[1]
+        pairs = np.unique(group * len(pages) + page[mine])
+        count = np.bincount(pairs // len(pages), minlength=group.max() + 1)[group]
+        for j in np.flatnonzero(count >= min_pages):
+            k, i, f = at[mine[j]]
+            out[k][i][f] = int(count[j])
+    return [[tuple(x) for x in lines] for lines in out]
 
 
 # Page parts: lines as (pos, kind, box, text); box tells which container a line of page source is in.
@@ -235,148 +199,170 @@ def source_lines(source: str) -> list[tuple[int, str, str, str]]:
     return out
 
 
-_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
-
-
-def _solid(kind: str, text: str, said: bool) -> bool:
-    """A line that only an article has: whole sentences, code, tables and the like."""
-    return not said and (bool(_SENTENCE.search(text)) and (len(text) >= 40 or text.count(" ") >= 5 or text[-1] in "。！？") or kind in ("code", "table", "quote", "caption", "pre"))
-
-
-def furniture_of(lines: list[tuple[int, str, str, str]], seen: list[int], like_ends: set[str]) -> list[bool]:
-    """Which lines of a page are furniture; ``seen`` has the pages each line recurs on."""
-    n = len(lines)
-    said = [furniture_wording(t) or (c > 0 and k != "code" and _masked(t) in like_ends) for (_, k, _, t), c in zip(lines, seen)]
-    out = list(said)
-    solid = [_solid(k, t, said[i] or seen[i] > 0) for i, (_, k, _, t) in enumerate(lines)]
-    boxes = {b for _, _, b, _ in lines if b}
-    if len(boxes) > 1:
-        weight: Counter = Counter()
-        for i, (_, k, b, t) in enumerate(lines):
-            if b and not said[i]:
-                weight[b] += len(t) * (3 if solid[i] else 1) + (200 if k == "heading:1" else 0) + (150 if ":article" in b or ":main" in b else 0) - (400 if b.split(":")[1] in ("nav", "footer", "header", "aside") else 0)
-        if weight:
-            main = max(weight, key=lambda b: (weight[b], -int(b.split(":")[0])))
-            stay = {main} | {x[2] for x, unique in zip(lines, solid) if unique}
-            for i, (_, _, b, _) in enumerate(lines):
-                if b and b not in stay:
-                    out[i] = True
-            return out
-    title = next((i for i in range(n) if lines[i][1] == "heading:1" and not said[i]), None)
-    if title is not None and not any(solid[:title]):
-        for i in range(title):
-            out[i] = True
-    last = max((i for i in range(n) if solid[i]), default=title if title is not None else -1)
-    tail = next((i for i in range(last + 1, n) if said[i]), None)
-    ended = False
-    for i in range(tail if tail is not None else n, n):
-        # A share bar or notice can stand before the article's last short lines; a footer or a list of
-        # other articles can't.
-        ended = ended or said[i] and not _AMID.match(lines[i][3])
-        out[i] = out[i] or ended
-    for i in range(n):  # lists under a furniture heading before the end
-        if said[i] and _LEAD.fullmatch(lines[i][3]) and lines[i][1].startswith("heading"):
-            j = i + 1
-            while j < n and not said[j] and not solid[j] and not lines[j][1].startswith("heading"):
-                out[j] = True
-                j += 1
-    return out
-
-
-def _masked(text: str) -> str:
-    return re.sub(r"\d+", "#", text.lower())
-
-
-def _end_counts(pages: list[list[tuple]], seen: list[list[int]]) -> tuple[Counter, Counter]:
-    """On how many pages each repeated line is, and on how many of them only in the repeated runs at page ends."""
-    ends, every = Counter(), Counter()
-    for lines, counts in zip(pages, seen):
-        said = [c > 0 or furniture_wording(t) for (_, _, _, t), c in zip(lines, counts)]
-        first = next((i for i, s in enumerate(said) if not s), len(said))
-        title = next((i for i, x in enumerate(lines) if x[1] == "heading:1" and not said[i]), first)
-        last = max((i for i, x in enumerate(lines) if _solid(x[1], x[3], said[i])), default=-1)
-        tail = next((i for i in range(last + 1, len(lines)) if furniture_wording(lines[i][3])), len(lines))
-        at_ends: dict[str, bool] = {}
-        for i, (x, c) in enumerate(zip(lines, counts)):
-            if c:
-                t = _masked(x[3])
-                at_ends[t] = at_ends.get(t, True) and (i < max(first, title) or i > tail)
-        every.update(at_ends.keys())
-        ends.update(t for t, e in at_ends.items() if e)
-    return every, ends
-
+class Page:
+    """Lines of a page as (pos, kind, box, text), with their tokens and where their forms recur."""
+
+    def __init__(self, key: tuple, lines: list[tuple[int, str, str, str]]) -> None:
+        self.key, self.lines = key, lines
+        self.words = [tokens(x[3]) for x in lines]
+        self.counts: list[tuple[int, int, int]] = [(0, 0, 0)] * len(lines)
+
+    def form(self, i: int) -> bytes | None:
+        """Digest of the form by which a line is covered: its whole, else its label."""
+        return _form_digest(self.words[i], 0 if self.counts[i][0] else 1) if self.covered(i) else None
+
+    def spans(self) -> Iterator[tuple[list[int], int, int]]:
+        """Parts of the page as (line numbers, start and end of the article among them).
+
+        A page with several containers has each as a part: all of it is article if it has solid lines (if none
+        has, the one with most unique text), else none of it.  Any other page is one part.
+        """
+        boxes: dict[str, list[int]] = {}
+        for i, x in enumerate(self.lines):
+            boxes.setdefault(x[2], []).append(i)
+        if len([b for b in boxes if b]) > 1:
+            stay = [b for b, at in boxes.items() if any(self.solid(i) for i in at)]
+            stay = stay or [max(boxes, key=lambda b: sum(len(self.lines[i][3]) for i in boxes[b] if not self.covered(i)))]
+            for b, at in boxes.items():
+                yield at, 0 if b in stay else len(at), len(at)
+            return
+        n = len(self.lines)
+        solid = [i for i in range(n) if self.solid(i)]
+        title = next((i for i in range(n) if self.lines[i][1] == "heading:1" and not self.covered(i)), None)
+        if solid or title is not None:
+            first = min(solid[:1] + [title] if title is not None else solid)
+            yield list(range(n)), first, (solid[-1] if solid else title) + 1
+        else:
+            yield list(range(n)), 0, n
+
+    def covered(self, i: int) -> bool:
+        whole, label, _ = self.counts[i]
+        return bool(whole or label and self.lines[i][1] in _BARE_KINDS)
+
+    def solid(self, i: int) -> bool:
+        """A unique line that only an article has: a sentence, code, a table and the like."""
+        _, kind, _, text = self.lines[i]
+        said = _SENTENCE.search(text) and (len(text) >= 40 or text.count(" ") >= 5 or text[-1] in "。！？")
+        return not self.covered(i) and bool(said or kind in _OWN)
+
+    def places(self) -> dict[bytes, tuple[bool, bool]]:
+        """Covered forms of the page: whether each stands as furniture, and outside the article, wherever the page has it."""
+        out: dict[bytes, tuple[bool, bool]] = {}
+        for at, first, end in self.spans():
+            for j, i in enumerate(at):
+                if (d := self.form(i)) is not None:
+                    _, kind, _, text = self.lines[i]
+                    outside, bare = j < first or j >= end, kind in _BARE_KINDS and not _SENTENCE.search(text)
+                    right, outer = out.get(d, (True, True))
+                    out[d] = right and (outside or bare), outer and outside
+        return out
 
-def _like_ends(pages: list[list[tuple]], seen: list[list[int]]) -> set[str]:
-    """Repeated lines that mostly stand in the repeated runs at page ends, not amid unique lines."""
-    every, ends = _end_counts(pages, seen)
-    return {t for t, n in every.items() if ends[t] >= LIKE_ENDS * n and n >= MIN_PAGES}
+    def furniture(self, known: dict[bytes, bool]) -> list[bool]:
+        """Which lines are furniture; ``known`` has the host's forms of furniture, and whether they end an article."""
+        found = [known.get(d) if (d := self.form(i)) is not None else None for i in range(len(self.lines))]
+        out = [f is not None for f in found]
+        for at, first, end in self.spans():
+            if first == end:  # a container without article goes if it has any furniture
+                if any(out[i] for i in at):
+                    for i in at:
+                        out[i] = True
+                continue
+            last = max((j for j in range(first) if out[at[j]]), default=-1)
+            for j, i in enumerate(at[:first]):
+                out[i] = j <= last or self.counts[i][2] > 0 and self.lines[i][1] in _BARE_KINDS
+            for i in at[next((j for j in range(end, len(at)) if found[at[j]]), len(at)) :]:
+                out[i] = True
+        return out
 
 
 _SCHEMA = "tbl string, rec_id bigint, kept array<bigint>, furniture array<bigint>"
 
 
 def _readable(source: str) -> str:
-    """A garbled page as it was meant, line by line; its wording tells furniture only then."""
+    """A garbled page as it was meant, line by line, so that its lines meet those of other pages."""
     if not _GARBLED.search(source):
         return source
     mended = repair(source)[0]
     return mended if mended.count("\n") == source.count("\n") else source
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _form_digest(words: list[str], which: int) -> bytes | None:
+    form = forms(words)[which]
+    if form is None:
+        return None
+    return hashlib.blake2b("\0".join((str(which), *form)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _line_digest(line: str) -> bytes:
-    """Equal for lines that ``repeated_lines`` takes as equal."""
-    return _digest("\0".join("#" if w[0].isdigit() else w for w in _TOKENS.findall(line.lower())))
-
-
-def _parsed(group: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
-    """Keys and lines of the pages of a group."""
-    once = {(g[0], g[1]): g for g in reversed(group) if g[6] is None}
-    pages = []
-    for g in once.values():
-        if g[4] is not None:
-            pages.append(source_lines(_readable(g[4])))
+def _parsed(group: list[tuple]) -> tuple[list[Page], list[int]]:
+    """The pages of a group, and for each the number of its content among the different ones."""
+    pages, contents, content_of, seen = [], {}, [], set()
+    for tbl, rec_id, _, _, content, source, blocks, what, *_ in group:
+        if what is not None or (tbl, rec_id, content) in seen:
+            continue
+        seen.add((tbl, rec_id, content))
+        if source is not None:
+            lines = source_lines(_readable(source))
         else:
-            pages.append([(i, b["kind"] or "", "", t) for i, b in enumerate(g[5] or [], 1) if b and (t := plain(b["text"] or ""))])
-    return list(once), pages
-
-
-def _host_seen(pages: list[list[tuple]], group: list[tuple]) -> list[list[int]]:
-    """What ``repeated_lines`` gives for the whole host."""
-    total = {g[7]: g[8] for g in group if g[6] == "line"}
-    return [[total.get(_line_digest(x[3]), 0) for x in lines] for lines in pages]
+            lines = [(i, b["kind"] or "", "", t) for i, b in enumerate(blocks or [], 1) if b and (t := plain(b["text"] or ""))]
+        content_of.append(contents.setdefault(content, len(contents)))
+        pages.append(Page((tbl, rec_id), lines))
+    return pages, content_of
+
+
+def _count_here(pages: list[Page], content_of: list[int], min_pages: int = MIN_PAGES) -> None:
+    """Count forms over the different contents of this group."""
+    first = {c: p for p, c in reversed(list(zip(pages, content_of)))}
+    numbers = sorted(first)
+    counted = dict(zip(numbers, recurrence([first[c].words for c in numbers], min_pages)))
+    for p, c in zip(pages, content_of):
+        p.counts = counted[c]
+
+
+def _count_host(pages: list[Page], group: list[tuple]) -> None:
+    """The same counts for the whole host, from the sums that came with the group."""
+    total = {g[8]: g[9] for g in group if g[7] == "line"}
+    for p in pages:
+        p.counts = [tuple(total.get(_form_digest(w, f), 0) for f in range(3)) for w in p.words]
+
+
+def _place_sums(pages: list[Page], content_of: list[int]) -> dict[bytes, list[int]]:
+    """Covered forms: pages (of different content) that have it, where it stands as furniture, and outside the article."""
+    out: dict[bytes, list[int]] = {}
+    for p in {c: p for p, c in reversed(list(zip(pages, content_of)))}.values():
+        for d, (right, outer) in p.places().items():
+            sums = out.setdefault(d, [0, 0, 0])
+            sums[0] += 1
+            sums[1] += right
+            sums[2] += outer
+    return out
 
 
 def _line_rows(group: list[tuple]) -> list[tuple]:
-    """``key, n, ends`` of each different line of a shard."""
-    _, pages = _parsed(group)
-    counts = repeated_lines([[x[3] for x in lines] for lines in pages], 1)
-    return [(d, n, 0) for d, n in {_line_digest(x[3]): n for lines, c in zip(pages, counts) for x, n in zip(lines, c)}.items()]
+    """``key, n, placed, outer`` of each different form in a shard."""
+    pages, content_of = _parsed(group)
+    _count_here(pages, content_of, 1)
+    return list({(_form_digest(w, f), n, 0, 0) for p in pages for w, counts in zip(p.words, p.counts) for f, n in enumerate(counts) if n})
 
 
-def _end_rows(group: list[tuple]) -> list[tuple]:
-    """``key, n, ends`` of each line of a shard that the host repeats."""
-    _, pages = _parsed(group)
-    every, ends = _end_counts(pages, _host_seen(pages, group))
-    return [(_digest(t), n, ends[t]) for t, n in every.items()]
+def _place_rows(group: list[tuple]) -> list[tuple]:
+    """``key, n, placed, outer`` of each covered form in a shard."""
+    pages, content_of = _parsed(group)
+    _count_host(pages, group)
+    return [(d, *sums) for d, sums in _place_sums(pages, content_of).items()]
 
 
 def _group_rows(group: list[tuple]) -> list[tuple]:
-    keys, pages = _parsed(group)
+    pages, content_of = _parsed(group)
     if group[0][3] == WHOLE:
-        seen = repeated_lines([[x[3] for x in lines] for lines in pages])
-        like = _like_ends(pages, seen)
+        _count_here(pages, content_of)
+        known = {d: 2 * outer >= n for d, (n, right, outer) in _place_sums(pages, content_of).items() if right >= LIKELY * n}
     else:
-        seen = _host_seen(pages, group)
-        ends = {g[7] for g in group if g[6] == "end"}
-        like = {t for lines, c in zip(pages, seen) for x, n in zip(lines, c) if n and _digest(t := _masked(x[3])) in ends}
+        _count_host(pages, group)
+        known = {g[8]: 2 * g[10] >= g[9] for g in group if g[7] == "place"}
     out = []
-    for key, lines, counts in zip(keys, pages, seen):
-        marks = furniture_of(lines, counts, like)
-        out.append((*key, [x[0] for x, m in zip(lines, marks) if not m], [x[0] for x, m in zip(lines, marks) if m]))
+    for p in pages:
+        marks = p.furniture(known)
+        out.append((*p.key, [x[0] for x, m in zip(p.lines, marks) if not m], [x[0] for x, m in zip(p.lines, marks) if m]))
     return out
 
 
@@ -401,50 +387,50 @@ def _separate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(rows_of):
-    types = [pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             if rows := rows_of(group):
                 at = [pa.array([group[0][2]] * len(rows), pa.string()), pa.array([group[0][3]] * len(rows), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*at, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["host", "shard", "key", "n", "ends"])
+                yield pa.RecordBatch.from_arrays([*at, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["host", "shard", "key", "n", "placed", "outer"])
 
     return run
 
 
 def _host_sums(spread: DataFrame, rows_of) -> DataFrame:
-    """``host, shard, key, n, ends``: what each shard counted, with the sums of its host."""
+    """``host, shard, key, n, placed, outer``: what each shard counted, with the sums of its host."""
     host = W.partitionBy("host", "key")  # a row for each shard at most
-    counts = spread.mapInArrow(_counted(rows_of), "host string, shard int, key binary, n bigint, ends bigint")
-    return counts.select("host", "shard", "key", F.sum("n").over(host).alias("n"), F.sum("ends").over(host).alias("ends")).filter(F.col("n") >= MIN_PAGES)
+    counts = spread.mapInArrow(_counted(rows_of), "host string, shard int, key binary, n bigint, placed bigint, outer bigint")
+    return counts.select("host", "shard", "key", *(F.sum(c).over(host).alias(c) for c in ("n", "placed", "outer")))
 
 
 def separate_pages(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """``tbl, rec_id, kept, furniture``: positions of the article's pieces and of page furniture.
 
     ``pages`` has tbl, rec_id, host, source (page source, lines ending at LF) and blocks (an array of
-    structs with kind and text); one of the two is null.
+    structs with kind and text); one of the two is null.  ``shard``: characters in a group of pages.
     """
     pages = pages.filter("tbl is not null and rec_id is not null").select("tbl", F.col("rec_id").cast("bigint").alias("rec_id"), F.coalesce("host", F.lit("")).alias("host"), "source", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"))).alias("blocks"))
-    # Hosts with more pages than a shard holds: at most one in ``shard`` pages, so the table is small.
-    hot = pages.groupBy("host").count().filter(F.col("count") > shard).select("host", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
-    place = F.when(F.col("shards").isNull(), WHOLE).otherwise(F.pmod(F.xxhash64("tbl", "rec_id"), F.col("shards"))).cast("int")
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.length("source"), F.lit(0)) + F.coalesce(F.aggregate("blocks", F.lit(0), lambda n, b: n + F.coalesce(F.length(b["text"]), F.lit(0))), F.lit(0))
+    # No hint: whether this table is small enough to broadcast is for the engine to see from its size.
+    hot = pages.groupBy("host").agg(F.sum(size).alias("size")).filter(F.col("size") > shard).select("host", F.ceil(F.col("size") / shard).cast("int").alias("shards"))
+    # Pages of equal content come to one shard, where they count once.
+    content = F.xxhash64("source", "blocks")
+    place = F.when(F.col("shards").isNull(), WHOLE).otherwise(F.pmod(content, F.col("shards"))).cast("int")
 
     def placed(how: str) -> DataFrame:
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("what", "string"), ("key", "binary"), ("n", "bigint"))]
-        return pages.join(F.broadcast(hot), "host", how).select("tbl", "rec_id", "host", place.alias("shard"), "source", "blocks", *nothing)
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("what", "string"), ("key", "binary"), ("n", "bigint"), ("outer", "bigint"))]
+        return pages.join(hot, "host", how).select("tbl", "rec_id", "host", place.alias("shard"), content.alias("content"), "source", "blocks", *nothing)
 
     def added(sums: DataFrame, what: str) -> DataFrame:
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in split.dtypes]
-        have = {"host": F.col("host"), "shard": F.col("shard"), "what": F.lit(what), "key": F.col("key"), "n": F.col("n")}
-        return sums.select(*(have.get(c, none).alias(c) for (c, _), none in zip(split.dtypes, nothing)))
+        have = {"host": F.col("host"), "shard": F.col("shard"), "what": F.lit(what), "key": F.col("key"), "n": F.col("n"), "outer": F.col("outer")}
+        return sums.select(*(have.get(c, F.lit(None).cast(t)).alias(c) for c, t in split.dtypes))
 
     def spread(rows: DataFrame) -> DataFrame:
-        # The last term makes each pass take the same one of a page's repeated deliveries.
-        return rows.repartition(n, "host", "shard").sortWithinPartitions("host", "shard", "tbl", "rec_id", F.xxhash64("source", "blocks"))
+        return rows.repartition("host", "shard").sortWithinPartitions("host", "shard", "tbl", "rec_id")
 
     split = placed("inner")
-    lines = checkpointed(added(_host_sums(spread(split), _line_rows), "line"))
-    ends = added(_host_sums(spread(split.unionByName(lines)), _end_rows).filter(F.col("ends") >= LIKE_ENDS * F.col("n")), "end")
-    return spread(placed("left").unionByName(lines).unionByName(ends)).mapInArrow(_separate, _SCHEMA)
+    lines = checkpointed(added(_host_sums(spread(split), _line_rows).filter(F.col("n") >= MIN_PAGES), "line"))
+    places = added(_host_sums(spread(split.unionByName(lines)), _place_rows).filter(F.col("placed") >= LIKELY * F.col("n")), "place")
+    return spread(placed("left").unionByName(lines).unionByName(places)).mapInArrow(_separate, _SCHEMA)
