@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillworks.llm.encoding import SUSPECT, repair
-from quillworks.session import checkpointed
+from quillworks.llm.lineage import checkpointed
 
 _GARBLED = re.compile(SUSPECT.replace("\\p{L}", "[^\\W\\d_]"))
 SHARD, DEPTH = 2_000_000, 64

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillworks.llm.tokens import DEFAULT_RANKS, count
-from quillworks.session import checkpointed
+from quillworks.llm.lineage import checkpointed
 
 BUCKETS = 1024
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillworks.llm.boost import Boosted, calibrated_threshold
-from quillworks.session import checkpointed
+from quillworks.llm.lineage import checkpointed
 
 EXAMPLES, MOST_WORDS = 2400, 200_000
 #: Words counted in a worker before their counts are passed on.

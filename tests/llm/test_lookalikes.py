@@ -1,6 +1,9 @@
 import unicodedata as U
 
-from quillworks.llm.lookalikes import normalize_texts, same_looking
+import re
+import sys
+
+from quillworks.llm.lookalikes import _patterns, _tables, normalize_texts, same_looking
 
 SAME = [
     ["The oak café", "Thе оak café", "The oak cafe\u0301", "Ｔｈｅ oak café", "The\u00a0oak\u2009café", "T\u200bhe oak\u2060 caf\u00ade\u0301"],
@@ -8,9 +11,14 @@ SAME = [
     ["ﬂat oﬃce", "flat office"],
     ["Å ångström", "A\u030a a\u030angstro\u0308m", "\u212b ångström"],
     ["ガラス", "カ\u3099ラス", "ｶﾞﾗｽ"],
+    ["⑴ a", "⑴\u200b a", "(1) a"],
+    ["\u1f71b", "\u03acb", "\u1f71\u200bb", "α\u0301b"],
+    ["한국 각", "\u1112\u1161\u11ab\u1100\u116e\u11a8 \u1100\u1161\u11a8", "한국 가\u11a8", "한\u200b국 각"],
+    ["Հայ օր", "Հայ oր", "Հայ օր\u00ad"],
+    ["а лодка, о маяк", "a лодка, o маяк"],
     ["ệ q\u0323\u0307", "e\u0323\u0302 q\u0307\u0323", "e\u0302\u0323 q\u0323\u0307"],
 ]
-APART = ["The oak cafe", "the oak café", "The oak café 1", "x2", "x²", "Ab", "АБ", "l1", "I1", "don't", "don’t"]
+APART = ["The oak cafe", "the oak café", "The oak café 1", "x2", "x²", "Ab", "АБ", "l1", "I1", "don't", "don’t", "ㄱㅏ", "가"]
 
 
 def test_one_form_for_one_look(spark):
@@ -25,6 +33,22 @@ def test_one_form_for_one_look(spark):
     assert len({got[(100 + k, 0)] for k in range(len(APART))} | {got[(0, 0)]}) == len(APART) + 1
 
 
+def test_every_changed_code_point_is_admitted_alone():
+    """No code point that the tables change passes as plain, and each one's table row is what the Unicode database says."""
+    plain = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m.group(1), 16))), _patterns()["plain"]))
+    rows, _, changed = _tables()
+    letters = {o for r in rows for o in r[7:] if o and o > "~"}  # doubles in their own script are plain
+    for c in changed:
+        assert not plain.match(chr(c)) or chr(c) in letters, hex(c)
+    to = {}
+    for ch, _, x, *_ in rows:
+        to[ch] = to.get(ch, "") + x
+    for c in range(sys.maxunicode + 1):
+        ch = chr(c)
+        if plain.match(ch) and ch not in letters:
+            assert U.normalize("NFC", to.get(ch, ch)) == ch, hex(c)
+
+
 def test_pairs_and_edge_cases(spark):
     rows = [("d", k, t) for k, t in enumerate(SAME[0] + SAME[0][:1] * 3)] + [("d", 50, None), ("d", 51, ""), ("d", 52, "\u200b"), ("d", 53, "\u00a0"), ("d", None, "Thе"), ("e", 0, SAME[0][0]), ("d", 0, SAME[0][0]), ("d", 60, "word " * 20_000 + "\u00a0"), ("d", 61, "word " * 20_000 + " ")]
     df = spark.createDataFrame(rows, "tbl string, id long, t string").withColumnsRenamed({}).selectExpr("*", "1 as look")
