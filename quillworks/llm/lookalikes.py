@@ -32,7 +32,7 @@ from quillworks.llm.lineage import checkpointed
 
 # Letters that look like Latin ones, in the order of the Latin ones, by script.
 DOUBLES = {
-    "C": ("ABCEHIJKMOPSTXYaceijopsxyhdqwGQWVvIlYy", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝԌԚԜѴѵӀӏҮү"),
+    "C": ("ABCEHIJKMOPSTXYaceijopsxyhdqwGQWVvIl", "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝԌԚԜѴѵӀӏ"),
     "G": ("ABEZHIKMNOPTYXovpuiaxJj", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρυιαχͿϳ"),
     "A": ("OSULounhgqj", "ՕՏՍԼօսոհցզյ"),
     "K": ("DRTiAJEWMHGZSVLCPKB", "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ"),
@@ -86,6 +86,7 @@ def _tables() -> tuple[list[tuple], list[tuple], list[int]]:
     for s, (xs, os) in DOUBLES.items():
         for x, o in zip(xs, os):
             as_script[s].setdefault(x, x if s == "L" else o)
+    settled = {form for forms in as_script.values() for form in forms.values()}
     rows, comp, changed = [], [], []
     for c in range(sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000:
@@ -96,7 +97,7 @@ def _tables() -> tuple[list[tuple], list[tuple], list[int]]:
         to = _map(ch)
         if to != ch and len(to) > 1 and U.normalize("NFC", U.normalize("NFD", ch)) == ch and U.normalize("NFD", ch) == to:
             comp.append((to, ch))
-        if U.normalize("NFC", to) != ch or _joins(ch) or 0x1100 <= c <= 0x1112 or ch in latin and ch > "~":
+        if U.normalize("NFC", to) != ch or _joins(ch) or 0x1100 <= c <= 0x1112 or ch in latin and ch not in settled:
             changed.append(c)
         for i, x in enumerate(to) if to else ((0, ""),):
             name = U.name(x, "").split(" ")[0] if x and U.category(x)[0] == "L" else ""
@@ -110,7 +111,7 @@ def _tables() -> tuple[list[tuple], list[tuple], list[int]]:
 
 @lru_cache(maxsize=1)
 def _patterns() -> dict[str, str]:
-    changed = set(_tables()[2]) - {ord(o) for s, (_, os) in DOUBLES.items() if s != "L" for o in os}
+    changed = set(_tables()[2])
     plain = []
     for a, b in BLOCKS:
         for c in range(a, b + 1):
