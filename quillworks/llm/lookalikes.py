@@ -216,7 +216,8 @@ def _rebuilt(odd: DataFrame, keys: list[str]) -> DataFrame:
     joined = F.expr("""if(n is null, text, concat(
         array_join(transform(n, (x, k) -> concat(array_join(slice(pieces, if(k = 0, 0, n[k - 1].at + 1) + 1, x.at - if(k = 0, 0, n[k - 1].at + 1)), ''), x.normal)), ''),
         array_join(slice(pieces, n[size(n) - 1].at + 2, size(pieces)), '')))""")
-    return odd.join(back, keys, "left").withColumn("pieces", pieces).select(*keys, "text", joined.alias("normal"))
+    both = odd.join(back, keys, "left").select(*keys, "text", "n", F.explode(F.array(F.struct(pieces.alias("pieces")))).alias("x"))  # split once a text
+    return both.select(*keys, "text", "n", "x.pieces").select(*keys, "text", joined.alias("normal"))
 
 
 def normalize_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
