@@ -96,8 +96,8 @@ def _subtitles() -> F.Column:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in whose text the stripper found markup."""
-    return clean_markup(_table(spark, d, "extracted_docs"), ["document_id"], "text", _subtitles(), only_hinted=True).filter("pieces > 0").select("document_id").distinct()
+    """Documents in whose text the distribution of stripped markup over the lines has a range."""
+    return clean_markup(_table(spark, d, "extracted_docs"), ["document_id"], "text", _subtitles(), only_hinted=True).filter("size(residue) > 0").select("document_id").distinct()
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
