@@ -86,7 +86,7 @@ def _tables() -> tuple[list[tuple], list[tuple], list[int]]:
     for s, (xs, os) in DOUBLES.items():
         for x, o in zip(xs, os):
             as_script[s].setdefault(x, x if s == "L" else o)
-    settled = {form for forms in as_script.values() for form in forms.values()}
+    settled = {form for forms in as_script.values() for form in forms.values()} | set(latin.values())
     rows, comp, changed = [], [], []
     for c in range(sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000:
