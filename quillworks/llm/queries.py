@@ -83,12 +83,20 @@ def p4_main(spark: SparkSession, d: str) -> DataFrame:
     return separate_pages(_pages(spark, d)).select("tbl", "rec_id", "kept")
 
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """How each document's bytes were read; a reader that fell back without a name read Windows-1252."""
+    name = F.coalesce("encoding_name", F.when(F.col("used_legacy_fallback"), "windows-1252"))
+    return _table(spark, d, "decoded_texts").select("document_id", name.alias("read_as"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text", only_suspicious=True).filter("garbled").select("document_id").distinct()
+    return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text", only_suspicious=True, reports=_readings(spark, d)).filter("garbled").select("document_id").distinct()
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return repair_texts(_table(spark, d, "extracted_docs"), ["document_id"], "text").dropDuplicates(["document_id"])
+    """Both texts of each document, a row for each that isn't null."""
+    both = _table(spark, d, "extracted_docs").select("document_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("body")) for c in ("text", "raw_text")))).alias("x")).select("document_id", "x.*").filter("body is not null")
+    return repair_texts(both, ["document_id", "field"], "body", reports=_readings(spark, d)).dropDuplicates(["document_id", "field"])
 
 
 def _subtitles() -> F.Column:

@@ -27,6 +27,38 @@ def test_two_layers():
     assert repair(bad)[:2] == (text, True)
 
 
+def _misread(text, codec):
+    """UTF-8 bytes as a reader shows them that passes on bytes without a character."""
+    return "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+
+
+@pytest.mark.parametrize("letter", "é ö ß ü ñ и".split())
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman"])
+@pytest.mark.parametrize("layers", [1, 2, 3, 4, 5])
+def test_layers(letter, codec, layers):
+    around = "мдр" if letter == "и" else "xyz"
+    for text in (f"{around[0]}{letter}{around[1:]}", f"Das {letter} und {letter}.", letter):
+        bad = text
+        for _ in range(layers):
+            bad = _misread(bad, codec)
+        assert repair(bad)[:2] == (text, True), bad
+
+
+@pytest.mark.parametrize("layers", [3, 5])
+def test_whole_lines_of_several_layers(layers):
+    for text in GOOD:
+        bad = text
+        for k in range(layers):
+            bad = _misread(bad, ("cp1252", "latin-1")[k % 2])
+        assert repair(bad)[:2] == (text, True)
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "mac_roman", "cp437", "cp850", "koi8-r", "cp1251"])
+def test_punctuation_alone(codec):
+    text = "The oak — it stood.\n“The mill turned” he said."
+    assert repair(_misread(text, codec))[:2] == (text, True)
+
+
 @pytest.mark.parametrize("written,read", [("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("koi8-r", "cp1251"), ("mac_roman", "cp1252")])
 def test_single_byte(written, read):
     text = GOOD[0] if written == "mac_roman" else "Старый мост открывает сад через реку\nЗдесь маяк"
@@ -57,4 +89,6 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, bad, "c"), (3, bad, "c"), (4, "x" * 100_000, "d"), (None, "ok", "e")], "id int, t string, garbled2 string")
     rows = repair_texts(df, ["id"], "t").collect()
     assert len(rows) == 6 and {r.text for r in rows if r.id == 3} == {GOOD[0]} and sum(r.garbled for r in rows) == 2
+    named = repair_texts(df, ["id"], "t", reports=df.selectExpr("id", "'windows-1252' as read_as")).collect()
+    assert sorted(map(str, named)) == sorted(map(str, rows))
     assert repair_texts(df.limit(0), ["id"], "t").count() == 0
