@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 from quillworks.functions.text import normalize, rx
 from quillworks.options import ExtractOptions
 
-#: A private-use character that stands for a block boundary; taken out of the input first.
-MARK = ""
+#: A private-use character that stands for a block boundary; the same character in the input is set aside meanwhile.
+MARK, _ASIDE = "\ue000", "\ue0f1"
 #: Named entities and what they stand for.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "reg": "®", "trade": "™"}
 _ENTITY = "&(?:#x[0-9A-Fa-f]++|#[0-9]++|[A-Za-z][A-Za-z0-9]*+);"
@@ -69,20 +69,35 @@ def block_boundaries(col: Column, separator: str) -> Column:
     if separator.strip(" \t\r\n  "):
         return F.pandas_udf(_place_separators, "string")(col, F.lit(separator))
     white = f"[ \\t\\n\\r\\u2028\\u2029{MARK}]"
-    # A run of boundaries and white space: flat classes, so no stack is used up.
-    run = f"(?<!{white}){white}++"
     edge = f"\\A{white}*{MARK}{white}*+|(?<!{white})(?={white}*{MARK}){white}++\\z"
-    return rx(rx(col, edge), f"(?<!{white})(?={white}*?{MARK}){white}++", separator) if run else col
+    return rx(rx(col, edge), f"(?<!{white})(?={white}*?{MARK}){white}++", separator)
+
+
+#: What markup stands for, in the order in which it is replaced.
+STEPS = [
+    ("(?s)<!--.*?-->", "\n"),
+    ("(?is)<(script|style|noscript)[^>]*+>.*?</\\1>", "\n"),
+    ("(?i)<br\\b[^>]*+>", "\n"),
+    (f"(?i)<hr\\b[^>]*+>|</(?:{BLOCKS})\\s*+>", MARK),
+    ("(?i)<li\\b[^>]*+>", "\n"),
+    ("(?i)</t[dh]\\s*+>", "\t"),
+]
+
+
+def _set_aside(col: Column) -> Column:
+    both = F.replace(F.replace(col, F.lit(_ASIDE), F.lit(_ASIDE + "1")), F.lit(MARK), F.lit(_ASIDE + "2"))
+    return F.when(col.rlike(f"[{MARK}{_ASIDE}]"), both).otherwise(col)
+
+
+def _put_back(col: Column) -> Column:
+    both = F.replace(F.replace(col, F.lit(_ASIDE + "2"), F.lit(MARK)), F.lit(_ASIDE + "1"), F.lit(_ASIDE))
+    return F.when(F.contains(col, F.lit(_ASIDE)), both).otherwise(col)
 
 
 def html_text(col: Column, options: ExtractOptions = ExtractOptions()) -> Column:
-    s = F.translate(col, MARK, "")
-    s = rx(s, "(?s)<!--.*?-->", "\n")
-    s = rx(s, "(?is)<(script|style|noscript)[^>]*+>.*?</\\1>", "\n")
-    s = rx(s, "(?i)<br\\b[^>]*+>", "\n")
-    s = rx(s, f"(?i)<hr\\b[^>]*+>|</(?:{BLOCKS})\\s*+>", MARK)
-    s = rx(s, "(?i)<li\\b[^>]*+>", "\n")
-    s = rx(s, "(?i)</t[dh]\\s*+>", "\t")
-    s = decode_entities(strip_tags(s))
-    s = block_boundaries(s, options.paragraph_separator if options.preserve_paragraphs else "\n")
-    return normalize(s, options)
+    s = _set_aside(col)
+    for pattern, to in STEPS:
+        s = rx(s, pattern, to)
+    s = rx(strip_tags(s), "(?i)&#(?:x0*+e000|0*+57344);", _ASIDE + "2")
+    s = block_boundaries(decode_entities(s), options.paragraph_separator if options.preserve_paragraphs else "\n")
+    return _put_back(normalize(s, options))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from quillworks.functions.html import decode_entities, strip_tags
-from quillworks.functions.text import normalize, rx
+from quillworks.functions.text import D, S, normalize, rx
 from quillworks.options import ExtractOptions
 
 
@@ -21,12 +21,13 @@ def strip_fences(col: Column) -> Column:
 
 
 def _line(col: Column) -> Column:
-    blank = col.rlike("^\\s{0,3}\\[[^\\]]+\\]:\\s*\\S+") | col.rlike("^\\s{0,3}(?:=+|-+)\\s*$") | col.rlike("^\\s*+\\|?\\s*+:?-{3,}+:?\\s*+(?:\\|\\s*+:?-{3,}+:?\\s*+)++(?:\\|\\s*+)?$")
-    s = rx(col, "^\\s{0,3}#{1,6}\\s+")
-    s = rx(s, "^\\s*+(?:>\\s*+)++")
-    s = rx(s, "^\\s*+[-*+]\\s++\\[[ xX]\\]\\s++")
-    s = rx(s, "^\\s*+[-*+]\\s++")
-    s = rx(s, "^\\s*+\\d++[.)]\\s++")
+    not_s = S.replace("[", "[^")
+    blank = col.rlike(f"^{S}{{0,3}}\\[[^\\]]+\\]:{S}*{not_s}+") | col.rlike(f"^{S}{{0,3}}(?:=+|-+){S}*$") | col.rlike(f"^{S}*+\\|?{S}*+:?-{{3,}}+:?{S}*+(?:\\|{S}*+:?-{{3,}}+:?{S}*+)++(?:\\|{S}*+)?$")
+    s = rx(col, f"^{S}{{0,3}}#{{1,6}}{S}+")
+    s = rx(s, f"^{S}*+(?:>{S}*+)++")
+    s = rx(s, f"^{S}*+[-*+]{S}++\\[[ xX]\\]{S}++")
+    s = rx(s, f"^{S}*+[-*+]{S}++")
+    s = rx(s, f"^{S}*+{D}++[.)]{S}++")
     return F.when(blank, "").otherwise(s)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from quillworks.functions.html import decode_entities
-from quillworks.functions.text import normalize, rx, trim_all
+from quillworks.functions.text import S, normalize, rx, trim_all
 from quillworks.options import ExtractOptions
 
 
@@ -24,10 +24,10 @@ def seconds(time: Column) -> Column:
 def cue_blocks(col: Column, vtt: bool) -> Column:
     """Blocks between blank lines, as arrays of lines; WebVTT's header and notes left out."""
     lined = rx(col, "\\r\\n?", "\n")
-    blocks = F.filter(F.transform(F.split(lined, "\\n\\s*\\n", -1), trim_all), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(lined, f"\\n{S}*\\n", -1), trim_all), lambda b: b != "")
     if vtt:
         blocks = F.filter(blocks, lambda b: ~F.upper(F.split(b, "\n", 2)[0]).rlike("\\A(?:WEBVTT|NOTE|STYLE|REGION)"))
-    return F.transform(blocks, lambda b: F.transform(F.split(b, "\n", -1), lambda x: x))
+    return F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n", -1), trim_all), lambda x: x != ""))
 
 
 def cue_text(lines: Column, options: ExtractOptions) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F
 from quillworks.options import ExtractOptions
 
 _WHITE = "[\\t-\\r\\x85\\p{Z}]"
+#: What counts as a space and as a digit in patterns that the contract states with Unicode classes.
+S, D = "[\\t\\n\\f\\r\\p{Z}]", "\\p{Nd}"
 
 
 def rx(col: Column, pattern: str, to: str = "") -> Column:

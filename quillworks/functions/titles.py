@@ -27,11 +27,13 @@ def title(url: Column, name: Column) -> Column:
     return F.coalesce(full(url), full(name), F.lit("Untitled"))
 
 
+#: What parts a title from the site's name, the first that fits counts.
+SEPARATORS = (" | ", " — ", " – ", " - ")
+
+
 def strip_site(page_title: Column, site: Column) -> Column:
     """The page title without a separator and the site's name at its end, if something is left."""
-    out = page_title
-    for sep in (" - ", " – ", " — ", " | "):
-        tail = F.concat(F.lit(sep), site)
-        left = trim_all(F.substr(page_title, F.lit(1), F.length(page_title) - F.length(tail)))
-        out = F.when(site.isNotNull() & (trim_all(site) != "") & F.endswith(F.lower(page_title), F.lower(tail)) & (left != ""), left).otherwise(out)
-    return out
+    named = site.isNotNull() & (trim_all(site) != "")
+    without = [trim_all(F.substr(page_title, F.lit(1), F.length(page_title) - F.length(site) - len(sep))) for sep in SEPARATORS]
+    fits = [named & F.endswith(F.lower(page_title), F.lower(F.concat(F.lit(sep), site))) for sep in SEPARATORS]
+    return F.coalesce(*(F.when(f, F.nullif(w, F.lit(""))) for f, w in zip(fits, without)), page_title)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -12,17 +13,27 @@ from quillworks.kernel import Unreadable
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 IGNORED = set("script style noscript svg nav footer form button input select textarea".split())
 INLINE = set("a span em strong b i u small sup sub mark time br wbr".split())
-_ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+ROLES = {"p": "paragraph", "li": "listItem", "dt": "listItem", "dd": "listItem", "blockquote": "quote", "pre": "code", "table": "table", "figcaption": "caption"} | {f"h{n}": "heading" for n in range(1, 7)}
+SILENT = {"script", "style", "noscript"}
+BOXED = set("p div li tr td th ul ol blockquote h1 h2 h3 h4 h5 h6".split())
+#: Elements whose end tag may be missing: what ends them, and what they are never looked for beyond.
+_LEFT_OPEN = [
+    (ENDS_P, {"p"}, {"table", "td", "th", "li", "blockquote", "div", "article", "section", "button"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), ({"tr"}, {"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"td", "th"}, {"tr", "table"}), ({"option"}, {"option"}, {"select"}),
+]
 _ASIDE = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|breadcrumbs?|cookie|consent|share|social|promo|advert\w*|ads?|sponsor\w*|related|recommend\w*|newsletter|subscribe|comments?|footer|masthead|toolbar|pagination|popup|modal|banner)(?:$|[\s_-])", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "open")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None) -> None:
         self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
+        #: For each group of _LEFT_OPEN the outermost such element around here, or none.
+        before = up.open if up else (None,) * len(_LEFT_OPEN)
+        self.open = tuple((b or self) if tag in tags else None if tag in walls else b for b, (_, tags, walls) in zip(before, _LEFT_OPEN)) if tag in _OPENERS else before
 
     def walk(self):
         """This node and its descendants, in document order."""
@@ -37,45 +48,45 @@ class Node:
         return (n for n in self.walk() if isinstance(n, Node) and (not tags or n.tag in tags))
 
 
+_OPENERS = {t for _, tags, walls in _LEFT_OPEN for t in tags | walls}
+
+
 class _Builder(HTMLParser):
     def __init__(self, most: int) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
-        self.n, self.most = 0, most
+        self.n, self.most, self.names = 0, most, Counter()
+
+    def _up_to(self, n: Node) -> None:
+        """Close everything inside n, and n."""
+        while self.at is not n.up:
+            self.names[self.at.tag] -= 1
+            self.at = self.at.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.n += 1
         if self.n > self.most:
             raise Unreadable("tooManyDOMElements", str(self.most))
-        if tag in _ENDS_P:
-            self._close({"p"}, {"table", "td", "th", "li", "blockquote", "div", "article", "section", "button", "#root"})
-        if tag in _ENDED_BY:
-            self._close(*_ENDED_BY[tag])
+        for k, (by, _, _) in enumerate(_LEFT_OPEN):
+            if tag in by and (n := self.at.open[k]):
+                self._up_to(n)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.up
-
-    def _close(self, tags: set[str], walls: set[str]) -> None:
-        n, last = self.at, None
-        while n and n.tag not in walls:
-            if n.tag in tags:
-                last = n
-            n = n.up
-        if last:
-            self.at = last.up
+        if tag in ("svg", "path"):
+            self._up_to(self.at)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n and n.tag != tag:
-            n = n.up
-        if n and n.up:
-            self.at = n.up
+        if self.names[tag] > 0:
+            n = self.at
+            while n.tag != tag:
+                n = n.up
+            self._up_to(n)
 
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
@@ -92,33 +103,9 @@ def squeeze(s: str) -> str:
     return " ".join(s.split())
 
 
-def node_text(node: Node, most_depth: int, lines: bool = False, skip_items: bool = False) -> str:
-    """Text of a node; paragraphs and boxes are parted by a gap; nested list items can be left out."""
-    out: list[str] = []
-    todo: list[tuple] = [(node, 0, False)]
-    gap = "\n" if lines else " "
-    while todo:
-        n, depth, closing = todo.pop()
-        if depth > most_depth:
-            raise Unreadable("domTooDeep", str(most_depth))
-        if isinstance(n, str):
-            out.append(n)
-            continue
-        if n.tag in ("script", "style", "noscript") or skip_items and depth and n.tag == "li":
-            continue
-        if n.tag == "br":
-            out.append("\n")
-            continue
-        boxed = n.tag in ("p", "div", "li", "tr", "td", "th", "ul", "ol", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and not (skip_items and n.tag in ("ul", "ol"))
-        if closing:
-            out.append(gap)
-            continue
-        if boxed and out:
-            out.append(gap)
-        if boxed:
-            todo.append((n, depth, True))
-        todo += [(k, depth + 1, False) for k in reversed(n.kids)]
-    return "".join(out)
+def plain_text(node: Node) -> str:
+    """Text of a node in one line."""
+    return squeeze("".join(n if isinstance(n, str) else " " for n in node.walk() if isinstance(n, str) or n.tag in BOXED or n.tag == "br"))
 
 
 @dataclass
@@ -131,85 +118,116 @@ class Page:
     drafts: list[tuple[str, int | None, str]] = field(default_factory=list)
 
 
-class Collector:
-    """Walks a content node in document order and keeps each part's role."""
-
-    def __init__(self, o) -> None:
-        self.o, self.drafts = o, []
-
-    def add(self, kind: str, raw: str, level: int | None = None) -> None:
-        text = raw.replace("\r\n", "\n").replace("\r", "\n").strip() if kind in ("code", "table") else squeeze(raw)
-        if text:
-            if len(self.drafts) >= self.o.max_blocks:
-                raise Unreadable("tooManyBlocks", str(self.o.max_blocks))
-            self.drafts.append((kind, level, text))
-
-    def visit(self, n: Node, depth: int = 0) -> None:
-        most = self.o.max_dom_depth
-        if depth > most:
-            raise Unreadable("domTooDeep", str(most))
-        if n.tag in IGNORED or n.tag == "p" and "byline" in n.attrs.get("class", "").split():
-            return
-        text = lambda **k: node_text(n, most, **k)
-        match n.tag:
-            case "h1" | "h2" | "h3" | "h4" | "h5" | "h6":
-                self.add("heading", text(), int(n.tag[1]))
-            case "p":
-                self.add("paragraph", text())
-            case "li":
-                self.add("listItem", text(skip_items=True))
-                self.nested(n, depth + 1)
-            case "dt" | "dd":
-                self.add("listItem", text())
-            case "blockquote":
-                self.add("quote", text())
-            case "pre":
-                self.add("code", text(lines=True))
-            case "table":
-                self.add("table", self.table(n))
-            case "figcaption":
-                self.add("caption", text())
-            case _:
-                loose = ""
-                for k in n.kids:
-                    if isinstance(k, str):
-                        loose += k
-                    elif k.tag in INLINE:
-                        loose += "\n" if k.tag == "br" else node_text(k, most)
-                    else:
-                        self.add("preservedContent", loose)
-                        loose = ""
-                        self.visit(k, depth + 1)
-                self.add("preservedContent", loose)
-
-    def nested(self, n: Node, depth: int) -> None:
-        """Lists inside a list item, also behind wrappers."""
-        if depth > self.o.max_dom_depth:
-            raise Unreadable("domTooDeep", str(self.o.max_dom_depth))
-        for k in n.kids:
-            if isinstance(k, Node):
-                if k.tag in ("ul", "ol"):
-                    self.visit(k, depth)
-                elif k.tag != "li":
-                    self.nested(k, depth + 1)
-
-    def table(self, n: Node) -> str:
-        rows = []
-        for tr in n.elements("tr"):
-            cells = [c for c in (squeeze(node_text(k, self.o.max_dom_depth)) for k in tr.elements("td", "th")) if c]
-            if cells:
-                rows.append("\t".join(cells))
-        return "\n".join(rows)
+class Draft:
+    """One block while its text comes in; a table keeps its rows, each a list of cells."""
+
+    def __init__(self, kind: str, level: int | None = None) -> None:
+        self.kind, self.level, self.parts = kind, level, []
+        self.rows: list[list[list[str]]] = []
+        self.within: list[list] = []  # rows and cells that are open
+
+    def add(self, text: str) -> None:
+        if self.kind == "table":
+            for kind, at in self.within:
+                if kind == "cell":
+                    at.append(text)
+        else:
+            self.parts.append(text)
+
+    def gap(self) -> None:
+        self.add("\n" if self.kind == "code" else " ")
+
+    def enter(self, tag: str) -> None:
+        if self.kind == "table" and tag == "tr":
+            self.rows.append([])
+            self.within.append(("row", self.rows[-1]))
+        elif self.kind == "table" and tag in ("td", "th"):
+            cell: list[str] = []
+            for kind, at in self.within:
+                if kind == "row":
+                    at.append(cell)
+            self.within.append(("cell", cell))
+        elif tag in BOXED and self.parts:
+            self.gap()
+
+    def leave(self, tag: str) -> None:
+        if self.kind == "table" and tag in ("tr", "td", "th"):
+            self.within.pop()
+        elif tag in BOXED:
+            self.gap()
+
+    def text(self) -> str:
+        if self.kind == "table":
+            lines = ("\t".join(c for c in (squeeze("".join(cell)) for cell in row) if c) for row in self.rows)
+            return "\n".join(line for line in lines if line)
+        raw = "".join(self.parts)
+        return raw.replace("\r\n", "\n").replace("\r", "\n").strip() if self.kind == "code" else squeeze(raw)
+
+
+def typed_blocks(top: Node, o) -> list[tuple[str, int | None, str]]:
+    """The parts of a content node with their roles, in one pass.
+
+    Text goes to the draft that is open: that of the nearest element with a role, or of loose text in a
+    wrapper, which ends where another block starts.  A list item inside another opens its own
+    draft; drafts come in the order in which they were opened.
+    """
+    drafts: list[Draft] = []
+    loose = [None]  # the drafts of loose text, one for each wrapper that is open
+    todo: list[tuple] = [("visit", top, 0, 0, None)]
+
+    def opened(kind: str, level: int | None = None) -> Draft:
+        drafts.append(Draft(kind, level))
+        return drafts[-1]
+
+    while todo:
+        act, n, depth, inner, draft = todo.pop()
+        if act == "leave":
+            if draft:
+                draft.leave(n.tag)
+            else:
+                loose.pop()
+            continue
+        if isinstance(n, str):
+            if draft is None:
+                loose[-1] = loose[-1] or opened("preservedContent")
+            (draft or loose[-1]).add(n)
+            continue
+        if max(depth, inner) > o.max_dom_depth:
+            raise Unreadable("domTooDeep", str(o.max_dom_depth))
+        if draft is None and (n.tag in IGNORED or n.tag == "p" and "byline" in n.attrs.get("class", "").split()) or draft and n.tag in SILENT:
+            continue
+        if draft is None and n.tag in INLINE:
+            loose[-1] = draft = loose[-1] or opened("preservedContent")
+        if n.tag == "br" and draft:
+            draft.add("\n")
+        elif draft is None and n.tag in ROLES or draft and draft.kind == "listItem" and n.tag == "li":
+            loose[-1] = None
+            kind = ROLES[n.tag]
+            own = opened(kind, int(n.tag[1]) if kind == "heading" else None)
+            todo += [("visit", k, depth + inner + 1, 1, own) for k in reversed(n.kids)]
+        elif draft:
+            draft.enter(n.tag)
+            todo.append(("leave", n, 0, 0, draft))
+            todo += [("visit", k, depth, inner + 1, draft) for k in reversed(n.kids)]
+        else:
+            loose[-1] = None
+            loose.append(None)
+            todo.append(("leave", n, 0, 0, None))
+            todo += [("visit", k, depth + 1, 0, None) for k in reversed(n.kids)]
+    out = [(d.kind, d.level, t) for d in drafts if (t := d.text())]
+    if len(out) > o.max_blocks:
+        raise Unreadable("tooManyBlocks", str(o.max_blocks))
+    return out
 
 
 def _label(n: Node) -> str:
     return f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
 
 
-def _set_aside(n: Node) -> bool:
+def _set_aside(n: Node, holds: set[int]) -> bool:
     if n.tag in IGNORED or n.tag == "aside" or n.attrs.get("hidden") is not None and "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
         return True
-    return n.tag in ("div", "section", "ul", "ol", "header", "p", "span") and bool(_ASIDE.search(_label(n))) and not _BODY.search(_label(n)) and not any(True for _ in n.elements("h1", "article", "main"))
+    return n.tag in ("div", "section", "ul", "ol", "header", "p", "span") and bool(_ASIDE.search(_label(n))) and not _BODY.search(_label(n)) and id(n) not in holds
 
 
 def content_node(root: Node) -> Node | None:
@@ -219,48 +237,48 @@ def content_node(root: Node) -> Node | None:
     of that to its grandparent; a box's score falls with the share of its text that is links.
     """
     body = next(root.elements("body"), root)
+    holds: set[int] = set()  # elements around a main heading, article or main element
+    for n in body.elements("h1", "article", "main"):
+        while n and id(n) not in holds:
+            holds.add(id(n))
+            n = n.up
     for n in list(body.elements()):  # furniture goes before anything is scored
-        n.kids = [k for k in n.kids if isinstance(k, str) or not _set_aside(k)]
+        n.kids = [k for k in n.kids if isinstance(k, str) or not _set_aside(k, holds)]
+    sums: dict[int, tuple[int, int, int]] = {}  # letters, letters in links, commas
+    for e in reversed(list(body.elements())):
+        size = linked = commas = 0
+        for k in e.kids:
+            if isinstance(k, str):
+                size, commas = size + len(squeeze(k)), commas + k.count(",") + k.count("、")
+            else:
+                a, b, c = sums[id(k)]
+                size, linked, commas = size + a, linked + b, commas + c
+        sums[id(e)] = (size, size if e.tag == "a" else linked, commas)
+    own = lambda n: sums[id(n)][0] - sums[id(n)][1]
     scores: dict[int, list] = {}
-    letters: dict[int, list[int]] = {}
-
-    def count(n: Node) -> tuple[int, int]:
-        if id(n) not in letters:
-            order = list(n.elements())
-            for e in reversed(order):
-                own = sum(len(squeeze(k)) for k in e.kids if isinstance(k, str))
-                kids = [letters[id(k)] for k in e.kids if isinstance(k, Node)]
-                total = own + sum(k[0] for k in kids)
-                letters[id(e)] = [total, total if e.tag == "a" else sum(k[1] for k in kids)]
-        return tuple(letters[id(n)])
-
-    count(body)
     for p in body.elements("p", "pre", "blockquote", "td", "li", "div", "section"):
         if p.tag in ("div", "section") and any(isinstance(k, Node) and k.tag not in INLINE for k in p.kids):
             continue
-        size, linked = count(p)
+        size, linked, commas = sums[id(p)]
         if size < 25 or linked * 2 > size:
             continue
-        own = node_text(p, 1000) if size < 4000 else ""
-        points = 1 + own.count(",") + own.count("、") + min(size / 100, 3)
+        points = 1 + (commas if size < 4000 else 0) + min(size / 100, 3)
         for n, share in ((p.up, 1.0), (p.up.up if p.up else None, 0.5)):
             if n:
                 scores.setdefault(id(n), [n, 0.0])[1] += points * share
-    ranked = []
-    for n, points in scores.values():
-        size, linked = count(n) if id(n) in letters else (1, 0)
-        points *= 1 - linked / max(1, size)
-        points += 5 * bool(_BODY.search(_label(n)))
-        ranked.append((points, n))
-    named = [n for n in body.elements("article", "main") if count(n)[0] - count(n)[1] >= 40] or [n for n in body.elements() if n.attrs.get("role") == "main"]
+    named = [n for n in body.elements("article", "main") if own(n) >= 40] or [n for n in body.elements() if n.attrs.get("role") == "main"]
     if named:
-        return max(named, key=lambda n: (n.tag == "article") * 10_000 * (count(n)[0] * 2 > max(count(m)[0] for m in named)) + count(n)[0] - count(n)[1])
-    if ranked:
-        best = max(ranked, key=lambda x: x[0])[1]
-        while best.up and best.up.tag not in ("#root", "html", "body") and count(best.up)[0] - count(best.up)[1] <= 1.2 * (count(best)[0] - count(best)[1]):
-            best = best.up
-        return best
-    return None
+        most = max(sums[id(n)][0] for n in named)
+        return max(named, key=lambda n: (n.tag == "article") * 10_000 * (sums[id(n)][0] * 2 > most) + own(n))
+    best, top = None, 0.0
+    for n, points in scores.values():
+        size, linked, _ = sums.get(id(n), (1, 0, 0))
+        points = points * (1 - linked / max(1, size)) + 5 * bool(_BODY.search(_label(n)))
+        if best is None or points > top:
+            best, top = n, points
+    while best and best.up and id(best.up) in sums and best.up.tag not in ("#root", "html", "body") and own(best.up) <= 1.2 * own(best):
+        best = best.up
+    return best
 
 
 def _metas(root: Node) -> dict[str, str]:
@@ -276,10 +294,10 @@ def read(text: str, o) -> Page:
     root = tree(text, o.max_dom_elements)
     metas, page = _metas(root), Page()
     heading = next(root.elements("title"), None)
-    page.title = metas.get("og:title") or (squeeze(node_text(heading, 1000)) if heading else None) or None
+    page.title = metas.get("og:title") or (plain_text(heading) if heading else None) or None
     page.site = metas.get("og:site_name")
     byline = next((n for n in root.elements() if "byline" in n.attrs.get("class", "").split() or n.attrs.get("rel") == "author" or n.attrs.get("itemprop") == "author"), None)
-    page.author = metas.get("author") or metas.get("article:author") or (squeeze(node_text(byline, 1000)) if byline else None)
+    page.author = metas.get("author") or metas.get("article:author") or (plain_text(byline) if byline else None)
     html = next(root.elements("html"), None)
     page.language = (html.attrs.get("lang") if html else None) or metas.get("og:locale") or None
     stamp = next((t.attrs["datetime"] for t in root.elements("time") if t.attrs.get("datetime")), None)
@@ -287,7 +305,5 @@ def read(text: str, o) -> Page:
     node = content_node(root)
     if node is None:
         raise Unreadable("unreadableArticle", "")
-    c = Collector(o)
-    c.visit(node)
-    page.drafts = c.drafts
+    page.drafts = typed_blocks(node, o)
     return page

@@ -1,12 +1,14 @@
 """Paragraphs and table rows of office XML, one engine for three vocabularies.
 
-A vocabulary says which elements are paragraphs, rows and cells, where text counts, what stands for a
-tab or a break, and which subtrees don't count.  Elements go by their local names.
+A part is read into a tree of elements by local name; blocks are the outermost paragraphs and the rows of
+the outermost tables, each rendered from its own subtree.  A vocabulary says which elements are
+paragraphs, rows and cells, where text counts, what stands for a tab or a break, and what is left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -15,28 +17,53 @@ class BadXml(Exception):
     pass
 
 
-def local(name: str) -> str:
-    return name.rpartition(":")[2]
+class Element:
+    __slots__ = ("name", "attributes", "kids")
 
+    def __init__(self, name: str, attributes: dict[str, str]) -> None:
+        self.name, self.attributes, self.kids = name.rpartition(":")[2], attributes, []
 
-def attribute(attributes: dict[str, str], name: str) -> str | None:
-    return next((v for k, v in attributes.items() if local(k) == name), None)
+    def get(self, name: str) -> str | None:
+        """An attribute by its local name."""
+        return next((v for k, v in self.attributes.items() if k.rpartition(":")[2] == name), None)
 
+    def below(self, *names: str) -> Iterator[Element]:
+        """Descendants of these names, in document order."""
+        todo = self.kids[::-1]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, Element):
+                if e.name in names:
+                    yield e
+                todo += e.kids[::-1]
 
-def walk(data: bytes, start, end, text) -> None:
-    """Run the handlers over well-formed XML; entity declarations are refused."""
-    p = expat.ParserCreate()
-    p.buffer_text = True
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
 
-    def refuse(*_):
+def parse(data: bytes) -> Element:
+    """The root of well-formed XML; entity declarations are refused."""
+    top = Element("", {})
+    open_ = [top]
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        e = Element(name, attributes)
+        open_[-1].kids.append(e)
+        open_.append(e)
+
+    def refuse(*_) -> None:
         raise BadXml("entity declaration")
 
-    p.EntityDeclHandler = refuse
+    p = expat.ParserCreate()
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.EntityDeclHandler = start, lambda _: open_.pop(), refuse
+    p.CharacterDataHandler = lambda text: open_[-1].kids.append(text)
     try:
         p.Parse(data, True)
     except (expat.ExpatError, ValueError):
         raise BadXml("not well-formed") from None
+    return top
+
+
+def whole(s: str | None) -> int | None:
+    return int(s) if s is not None and re.fullmatch(r"[+-]?\d{1,9}", s) else None
 
 
 @dataclass(frozen=True)
@@ -47,14 +74,16 @@ class Vocabulary:
     cells: frozenset[str]
     runs: str | None = None  # text counts inside these only; None: anywhere in a paragraph
     signs: dict[str, str] = field(default_factory=dict)
-    hidden: frozenset[str] = frozenset()  # text inside doesn't count, by nesting
-    dropped: frozenset[str] = frozenset()  # whole subtrees that are left out
+    out: frozenset[str] = frozenset()  # subtrees that are left out
     notes: frozenset[str] = frozenset()  # left out if their id says that they are separators
+    spaces: str | None = None  # an element that stands for so many spaces
+    item: str | None = None  # paragraphs in these get a bullet
     inner_gap: str = ""  # what parts a paragraph inside a paragraph from the text before
 
 
-WORD = Vocabulary(frozenset({"p"}), "tbl", "tr", frozenset({"tc"}), "t", {"tab": "\t", "br": "\n", "cr": "\n"}, frozenset({"del", "delText", "instrText"}), notes=frozenset({"footnote", "endnote"}))
-TEXT = Vocabulary(frozenset({"p", "h"}), "table", "table-row", frozenset({"table-cell", "covered-table-cell"}), None, {"tab": "\t", "line-break": "\n"}, dropped=frozenset({"tracked-changes", "annotation"}), inner_gap=" ")
+# Element names of the three vocabularies.
+WORD = Vocabulary(frozenset({"p"}), "tbl", "tr", frozenset({"tc"}), "t", {"tab": "\t", "br": "\n", "cr": "\n"}, out=frozenset({"del", "delText", "instrText"}), notes=frozenset({"footnote", "endnote"}))
+TEXT = Vocabulary(frozenset({"p", "h"}), "table", "table-row", frozenset({"table-cell", "covered-table-cell"}), None, {"tab": "\t", "line-break": "\n"}, out=frozenset({"tracked-changes", "annotation"}), spaces="s", item="list-item", inner_gap=" ")
 SLIDE = Vocabulary(frozenset({"p"}), "tbl", "tr", frozenset({"tc"}), "t", {"tab": "\t", "br": "\n"})
 
 
@@ -66,118 +95,79 @@ class Block:
     row: bool = False
 
 
-class Flow:
-    """Collects blocks while the document is walked."""
-
-    def __init__(self, v: Vocabulary, skip_placeholders: frozenset[str] = frozenset()) -> None:
-        self.v, self.skip_placeholders, self.blocks = v, skip_placeholders, []
-        self.drop = self.paragraph = self.table = self.cell = self.hide = self.shape = self.items = self.numbering = 0
-        self.run = self.mute = self.listed = False
-        self.text, self.cell_parts, self.cells, self.number_id, self.level = "", [], [], None, None
-
-    def visible(self) -> bool:
-        return self.paragraph > 0 and not self.hide and not (self.shape and self.mute)
-
-    def start(self, name: str, attributes: dict[str, str]) -> None:
-        v, n = self.v, local(name)
-        if self.drop or n in v.dropped or n in v.notes and attribute(attributes, "id") in ("-1", "0"):
-            self.drop += 1
-            return
-        if n in v.paragraphs:
-            self.paragraph += 1
-            if self.paragraph == 1:
-                self.text, self.number_id, self.level, self.numbering, self.listed = "", None, None, 0, self.items > 0
-            elif v.inner_gap:
-                self.text += v.inner_gap
-        elif n == v.table:
-            self.table += 1
-        elif n == v.row:
-            if self.table == 1:
-                self.cells = []
-        elif n in v.cells:
-            if self.table == 1:
-                self.cell, self.cell_parts = 1, []
-            elif self.cell:
-                self.cell += 1
-        elif n in v.hidden:
-            self.hide += 1
-        elif n == v.runs:
-            self.run = self.run or (not self.hide if v is WORD else self.visible())
-        elif n in v.signs:
-            if self.visible():
-                self.text += v.signs[n]
-        elif v is TEXT:
-            if n == "list-item":
-                self.items += 1
-            elif n == "s" and self.paragraph:
-                c = attribute(attributes, "c") or "1"
-                self.text += " " * min(max(int(c) if re.fullmatch(r"[+-]?\d{1,18}", c) else 1, 1), 1024)
-        elif v is WORD:
-            if n == "numPr" and self.paragraph:
-                self.numbering += 1
-            elif n == "numId" and self.paragraph and self.numbering:
-                self.number_id = attribute(attributes, "val")
-            elif n == "ilvl" and self.paragraph and self.numbering:
-                raw = attribute(attributes, "val")
-                if raw is not None:
-                    self.level = int(raw) if re.fullmatch(r"[+-]?\d{1,9}", raw) else None
-        elif v is SLIDE:
-            if n == "sp":
-                self.shape += 1
-                self.mute = self.mute and self.shape > 1
-            elif n == "ph" and self.shape and (attribute(attributes, "type") or "").lower() in self.skip_placeholders:
-                self.mute = True
-
-    def chars(self, data: str) -> None:
-        if not self.drop and (self.visible() if self.v.runs is None else self.run and not self.hide and (self.v is WORD or self.visible())):
-            self.text += data
-
-    def end(self, name: str) -> None:
-        if self.drop:
-            self.drop -= 1
-            return
-        v, n = self.v, local(name)
-        if n in v.paragraphs:
-            self.paragraph = max(0, self.paragraph - 1)
-            if not self.paragraph:
-                self.close_paragraph()
-        elif n == v.table:
-            self.table = max(0, self.table - 1)
-        elif n == v.row:
-            if self.table == 1:
-                if row := "\t".join(self.cells).strip():
-                    self.blocks.append(Block(row, row=True))
-                self.cells = []
-        elif n in v.cells:
-            if self.table == 1 and self.cell == 1:
-                self.cells.append(" ".join(p for p in map(str.strip, self.cell_parts) if p))
-                self.cell, self.cell_parts = 0, []
-            elif self.cell:
-                self.cell -= 1
-        elif n in v.hidden:
-            self.hide = max(0, self.hide - 1)
-        elif n == v.runs:
-            self.run = False
-        elif n == "list-item" and v is TEXT:
-            self.items = max(0, self.items - 1)
-        elif n == "numPr" and v is WORD:
-            self.numbering = max(0, self.numbering - 1)
-        elif n == "sp" and v is SLIDE:
-            self.shape = max(0, self.shape - 1)
-            self.mute = self.mute and self.shape > 0
-
-    def close_paragraph(self) -> None:
-        clean = re.sub(r"\n{3,}", "\n\n", re.sub(r" {2,}", " ", self.text)).strip()
-        if clean and not (self.shape and self.mute):
-            if self.table and self.cell:
-                self.cell_parts.append(clean)
-            else:
-                number = (self.number_id, self.level or 0) if self.number_id is not None else None
-                self.blocks.append(Block("• " + clean if self.listed else clean, number, self.listed))
-        self.text, self.number_id, self.level, self.numbering, self.listed = "", None, None, 0, False
+class Reader:
+    """Renders the blocks of one part; ``frames`` names the placeholders whose shapes are left out."""
 
+    def __init__(self, v: Vocabulary, frames: frozenset[str] = frozenset()) -> None:
+        self.v, self.frames = v, frames
 
-def blocks(data: bytes, v: Vocabulary, skip_placeholders: frozenset[str] = frozenset()) -> list[Block]:
-    f = Flow(v, skip_placeholders)
-    walk(data, f.start, f.end, f.chars)
-    return f.blocks
+    def skipped(self, e: Element) -> bool:
+        v = self.v
+        if e.name in v.out or e.name in v.notes and e.get("id") in ("-1", "0"):
+            return True
+        return bool(self.frames) and e.name == "sp" and any((p.get("type") or "").lower() in self.frames for p in e.below("ph"))
+
+    def outermost(self, top: Element, names: frozenset[str], listed: bool = False) -> Iterator[tuple[Element, bool]]:
+        """Descendants of these names that aren't inside another, with whether they are in a list item."""
+        todo = [(k, listed) for k in top.kids[::-1]]
+        while todo:
+            e, listed = todo.pop()
+            if isinstance(e, str) or self.skipped(e):
+                continue
+            if e.name in names:
+                yield e, listed
+            else:
+                inside = listed or e.name == self.v.item
+                todo += [(k, inside) for k in e.kids[::-1]]
+
+    def text(self, paragraph: Element) -> str:
+        v, out = self.v, []
+        todo = [(k, v.runs is None) for k in paragraph.kids[::-1]]
+        while todo:
+            e, counts = todo.pop()
+            if isinstance(e, str):
+                if counts:
+                    out.append(e)
+            elif not self.skipped(e):
+                if e.name in v.signs:
+                    out.append(v.signs[e.name])
+                elif e.name == v.spaces:
+                    n = whole(e.get("c") or "1")
+                    out.append(" " * min(max(1 if n is None else n, 1), 1024))
+                elif e.name in v.paragraphs:
+                    out.append(v.inner_gap)
+                inside = counts or e.name == v.runs
+                todo += [(k, inside) for k in e.kids[::-1]]
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r" {2,}", " ", "".join(out))).strip()
+
+    def number(self, paragraph: Element) -> tuple[str, int] | None:
+        """Numbering id and level, the last of each; an unreadable level counts as none."""
+        ids = [e.get("val") for props in paragraph.below("numPr") for e in props.below("numId")]
+        levels = [e.get("val") for props in paragraph.below("numPr") for e in props.below("ilvl")]
+        named = [x for x in levels if x is not None]
+        return (ids[-1], (whole(named[-1]) if named else 0) or 0) if ids and ids[-1] is not None else None
+
+    def paragraph(self, e: Element, listed: bool) -> Iterator[Block]:
+        if text := self.text(e):
+            yield Block("• " + text if listed else text, self.number(e) if self.v is WORD else None, listed)
+
+    def rows(self, table: Element, listed: bool) -> Iterator[Block]:
+        v = self.v
+        for row, inside in self.outermost(table, v.paragraphs | {v.row}, listed):
+            if row.name != v.row:
+                yield from self.paragraph(row, inside)
+                continue
+            cells = []
+            for cell, _ in self.outermost(row, v.cells):
+                texts = (self.text(p) for p, _ in self.outermost(cell, v.paragraphs))
+                cells.append(" ".join(t for t in texts if t))
+            if line := "\t".join(cells).strip():
+                yield Block(line, row=True)
+
+    def blocks(self, top: Element) -> Iterator[Block]:
+        for e, listed in self.outermost(top, self.v.paragraphs | {self.v.table}):
+            yield from self.rows(e, listed) if e.name == self.v.table else self.paragraph(e, listed)
+
+
+def blocks(data: bytes, v: Vocabulary, frames: frozenset[str] = frozenset()) -> list[Block]:
+    return list(Reader(v, frames).blocks(parse(data)))

@@ -186,3 +186,21 @@ def test_numbers(spark):
     assert all(r.l == (office.letters(r.id) or None) and r.r == office.roman(r.id) for r in rows)
     by = {r.id: r for r in rows}
     assert (by[27].l, by[703].l, by[1994].r, by[0].l, by[4000].r) == ("aa", "aaa", "mcmxciv", None, None)
+
+
+def test_unicode_spaces_in_markdown(spark):
+    got = run(spark, markdown.markdown_text, ["#\u00a0Title", "-\u2003item", "\u0661. one", ">\u00a0said", "\u00a0[a]:\u2003http://x", "---\u00a0"])
+    assert got == ["Title", "item", "one", "said", "", ""]
+
+
+def test_unicode_blank_lines_and_padding_in_subtitles(spark):
+    source = "1\n00:00:01,000 --> 00:00:02,000\n  hello \u00a0\n\u2003\n world\n \u00a0\n2\n00:00:03,000 --> 00:00:04,000\nthere"
+    got = run(spark, lambda c: subtitles.cues(c, "srt", ExtractOptions(normalize_whitespace=False, subtitle_cue_separator=" / ")), [source])[0]
+    assert [c.text for c in got] == ["hello", "there"]
+    got = run(spark, lambda c: subtitles.cues(c, "srt", ExtractOptions(normalize_whitespace=False, subtitle_cue_separator=" / ")), ["1\n00:00:01,000 --> 00:00:02,000\n  hello \u00a0\n  world "])[0]
+    assert [c.text for c in got] == ["hello / world"]
+
+
+def test_the_boundary_mark_in_the_input_stays(spark):
+    m, a = html.MARK, html._ASIDE
+    assert run(spark, html.html_text, [f"<p>a{m}b</p><p>{a}2{a}</p>", f"x&#{ord(m)};y&#x{ord(m):X};"]) == [f"a{m}b\n\n{a}2{a}", f"x{m}y{m}"]

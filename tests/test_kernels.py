@@ -1,4 +1,5 @@
 import struct
+import time
 
 import pytest
 
@@ -100,6 +101,32 @@ def test_sniffing():
     assert [office.sniff(d, O) for d in (docx(wp("a")), odt(""), pptx({"r": slide("a")}), zipped({"a": "b"}), b"PK", b"text")] == ["docx", "odt", "pptx", None, None, None]
 
 
+def test_sniffing_looks_past_the_entry_limit():
+    files = {"word/document.xml": f"<w:document {W}><w:body>{wp('x')}</w:body></w:document>"} | {f"x/{i}": "" for i in range(2100)}
+    assert office.sniff(zipped(files), O) == "docx"
+    with pytest.raises(Unreadable):
+        office.docx(zipped(files), O)
+    assert office.sniff(zipped({"mimetype": office.ODT_TYPE, "content.xml": "<a/>"} | {f"x/{i}": "" for i in range(2100)}), O) == "odt"
+
+
+def test_deep_xml():
+    body = "<w:x>" * 20_000 + wp("deep") + "</w:x>" * 20_000
+    assert office.docx(docx(body), O).body == ["deep"]
+
+
+def test_numbering_goes_on_and_starts_again():
+    level = lambda i, f, t: f'<w:lvl w:ilvl="{i}"><w:numFmt w:val="{f}"/><w:lvlText w:val="{t}"/></w:lvl>'
+    numbering = f'<w:numbering {W}><w:abstractNum w:abstractNumId="7">{level(0, "upperLetter", "%1)")}{level(1, "decimalZero", "%1-%2")}{level(2, "lowerRoman", "(%3)")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>'
+    body = numbered("a", level=2) + numbered("b") + numbered("c", level=2) + numbered("d", level=2) + numbered("e", level=1) + numbered("f", level=2) + numbered("g") + wp("") + numbered("") + numbered("h", level=1)
+    assert office.docx(docx(body, numbering=numbering), O).body == ["(i) a", "A) b", "(i) c", "(ii) d", "A-1 e", "(i) f", "B) g", "B-1 h"]
+
+
+def test_rtf_binary_data_and_code_pages():
+    assert rtf.text(rb"{\rtf1 a{\bin3 }}{}b}") == "ab"
+    assert rtf.text(rb"{\rtf1\ansicpg932 \'82\'b1\'83A!}") == "こア!"
+    assert rtf.text(rb"{\rtf1\ansi\deff0{\fonttbl{\f0\fcharset0 A;}{\f1\fcharset204 B;}{\f2\fcharset134 C;}}\'e9 {\f1 \'e8}{\f2 \'c4\'e3}\f1\'e8\plain\'e8}") == "é и你иè"
+
+
 def test_rtf():
     data = rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}{\*\generator X;}{\info{\title T}}Caf\'e9 {\b bold}\par \u8364 ?5\tab x\line y\{z\}\~w {\field{\*\fldinst HYPERLINK}{\fldrslt link}}\uc2\u233??.}"
     assert rtf.text(data) == "Café bold\n€5\tx\ny{z}\xa0w linké."
@@ -189,3 +216,13 @@ def test_web_decoding():
         assert e.value.code == code
     assert decode.decode_web("é".encode("utf-16")) == decode.decode_web(b"\xe9") == decode.decode_web("é".encode("utf-8-sig")) == "é"
     assert MIB == 1 << 20
+
+
+@pytest.mark.parametrize("page", ["<body>" + "<div class='x'>" * 20_000 + "word, " * 9, "<body>" + "<article><p>Some words here, that count.</p></article>" * 10_000, "<body>" + "<span>" * 12_000 + "<p>a" * 12_000, "<body><p><button>" + "<b>" * 12_000 + "<div></b>x</div>" * 12_000, "<body>" + "<div class='menu'>" * 15_000 + "</i>" * 15_000])
+def test_articles_take_time_in_proportion(page):
+    start = time.perf_counter()
+    try:
+        article.read(page, WebOptions())
+    except Unreadable:
+        pass
+    assert time.perf_counter() - start < 8
