@@ -11,22 +11,37 @@ from quillworks.kernel import Unreadable, article, decode, doc, office, rtf
 from quillworks.options import ExtractOptions, WebOptions
 
 _SLIDES = "array<struct<n:int,path:string,blocks:array<string>,notes:array<string>>>"
-PARSED = f"struct<text:string,encoding:string,legacy:boolean,body:array<string>,footnotes:array<string>,endnotes:array<string>,headers:array<string>,slides:{_SLIDES},slide_count:int,expanded:bigint,warnings:array<struct<code:string,message:string>>,code:string,reason:string>"
+PARSED = f"struct<sniffed:string,raw:string,text:string,encoding:string,legacy:boolean,body:array<string>,footnotes:array<string>,endnotes:array<string>,headers:array<string>,slides:{_SLIDES},slide_count:int,expanded:bigint,warnings:array<struct<code:string,message:string>>,code:string,reason:string>"
 PAGE = "struct<title:string,site:string,author:string,language:string,published:string,drafts:array<struct<kind:string,level:int,text:string>>,code:string,reason:string>"
 _TEXT = {"plainText", "markdown", "srt", "vtt", "html"}
-_EMPTY = {"text": None, "encoding": None, "legacy": None, "body": None, "footnotes": None, "endnotes": None, "headers": None, "slides": None, "slide_count": None, "expanded": None, "warnings": None, "code": None, "reason": None}
+_EMPTY = {"sniffed": None, "raw": None, "text": None, "encoding": None, "legacy": None, "body": None, "footnotes": None, "endnotes": None, "headers": None, "slides": None, "slide_count": None, "expanded": None, "warnings": None, "code": None, "reason": None}
+
+
+#: In place of a format: find it by content.
+SNIFF = "?"
+
+
+def _source(data: bytes) -> str | None:
+    """The decoded source of a format that has a parser of its own; null where it can't be decoded."""
+    try:
+        return decode.decode(data)[0]
+    except Unreadable:
+        return None
 
 
 def parse_one(fmt: str | None, data: bytes | None, options: ExtractOptions) -> dict:
     """What a document holds, or the code and reason of an error."""
     if fmt is None or data is None:
         return _EMPTY
+    if fmt == SNIFF:
+        found = office.sniff(data, options)
+        return parse_one(found, data, options) | {"sniffed": found}
     try:
         if fmt in _TEXT:
             text, encoding, legacy = decode.decode(data)
             return _EMPTY | {"text": text, "encoding": encoding, "legacy": legacy}
         if fmt == "rtf":
-            return _EMPTY | {"text": rtf.text(data)}
+            return _EMPTY | {"text": rtf.text(data), "raw": _source(data)}
         if fmt == "doc":
             return _EMPTY | {"text": doc.text(data)}
         p = {"docx": office.docx, "odt": office.odt, "pptx": office.pptx}[fmt](data, options)
@@ -37,7 +52,7 @@ def parse_one(fmt: str | None, data: bytes | None, options: ExtractOptions) -> d
         return _EMPTY | {"code": "invalidDocument", "reason": f"Could not parse {fmt} document ({type(e).__name__})."}
 
 
-_ARROW = pa.struct([("text", pa.string()), ("encoding", pa.string()), ("legacy", pa.bool_()), *((k, pa.list_(pa.string())) for k in ("body", "footnotes", "endnotes", "headers")), ("slides", pa.list_(pa.struct([("n", pa.int32()), ("path", pa.string()), ("blocks", pa.list_(pa.string())), ("notes", pa.list_(pa.string()))]))), ("slide_count", pa.int32()), ("expanded", pa.int64()), ("warnings", pa.list_(pa.struct([("code", pa.string()), ("message", pa.string())]))), ("code", pa.string()), ("reason", pa.string())])
+_ARROW = pa.struct([("sniffed", pa.string()), ("raw", pa.string()), ("text", pa.string()), ("encoding", pa.string()), ("legacy", pa.bool_()), *((k, pa.list_(pa.string())) for k in ("body", "footnotes", "endnotes", "headers")), ("slides", pa.list_(pa.struct([("n", pa.int32()), ("path", pa.string()), ("blocks", pa.list_(pa.string())), ("notes", pa.list_(pa.string()))]))), ("slide_count", pa.int32()), ("expanded", pa.int64()), ("warnings", pa.list_(pa.struct([("code", pa.string()), ("message", pa.string())]))), ("code", pa.string()), ("reason", pa.string())])
 
 
 def _clean(x):
@@ -67,14 +82,6 @@ def _arrow(run, kind: str):
         return arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER)
 
 
-def sniff(content: Column, options: ExtractOptions = ExtractOptions()) -> Column:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for c in batches:
-            yield pa.array([office.sniff(b.as_py(), options) if b.is_valid else None for b in c], pa.string())
-
-    return _arrow(run, "string")(content)
-
-
 _PAGE_ARROW = pa.struct([*((k, pa.string()) for k in ("title", "site", "author", "language", "published")), ("drafts", pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))), ("code", pa.string()), ("reason", pa.string())])
 
 

@@ -89,9 +89,18 @@ def to_json(article: Column) -> Column:
     return F.to_json(F.struct(article["title"].alias("title"), article["source_url"].alias("sourceURL"), blocks.alias("blocks"), article["metadata"].alias("metadata")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def from_json(text: Column) -> Column:
     """The article of its serialised form; null where it can't be read or breaks a rule.  Absent metadata is empty."""
     raw = F.from_json(text, "title string, sourceURL string, blocks array<struct<id:string,kind:struct<type:string,level:int>,text:string>>, metadata map<string,string>", {"mode": "PERMISSIVE"})
-    blocks = F.transform(raw["blocks"], lambda b: F.struct(b["id"].alias("id"), b["kind"]["type"].alias("kind"), b["kind"]["level"].alias("level"), b["text"].alias("text"))).cast(f"array<{BLOCK}>")
-    article = F.struct(trim_all(raw["title"]).alias("title"), raw["sourceURL"].alias("source_url"), blocks.alias("blocks"), F.coalesce(raw["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"), render_blocks(blocks).alias("text")).cast(ARTICLE)
-    return F.when(raw["title"].isNotNull() & raw["sourceURL"].isNotNull() & validate_article(article).isNull(), article)
+
+    def article(raw: Column) -> Column:
+        blocks = F.transform(raw["blocks"], lambda b: F.struct(b["id"].alias("id"), b["kind"]["type"].alias("kind"), b["kind"]["level"].alias("level"), b["text"].alias("text"))).cast(f"array<{BLOCK}>")
+        made = F.struct(trim_all(raw["title"]).alias("title"), raw["sourceURL"].alias("source_url"), blocks.alias("blocks"), F.coalesce(raw["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"), render_blocks(blocks).alias("text")).cast(ARTICLE)
+        return F.when(raw["title"].isNotNull() & raw["sourceURL"].isNotNull(), _let(made, lambda a: F.when(validate_article(a).isNull(), a)))
+
+    return _let(raw, article)

@@ -14,7 +14,7 @@ from quillworks.functions.markdown import markdown_text
 from quillworks.functions.subtitles import cues, segments, subtitle_text, time_warnings
 from quillworks.functions.text import normalize, normalize_cells, trim_all
 from quillworks.functions.titles import base_name, title
-from quillworks.operators.kernels import parse, sniff
+from quillworks.operators.kernels import SNIFF, parse
 from quillworks.options import ExtractOptions
 from quillworks.plans.registry import Registry
 from quillworks.schema import DOCUMENT, ERROR, SEGMENT, WARNING
@@ -50,18 +50,18 @@ def extract(df: DataFrame, content: str = "content", name: str = "file_name", ur
     too_large = size > options.max_input_bytes
     named = registry.by_name(F.coalesce(F.col("_name"), F.col("_url")))
     zipped = named.isNull() & ~too_large & (F.hex(F.substring("_content", 1, 2)) == "504B")
-    rows = rows.withColumn("_size", size).withColumn("_sniffed", sniff(F.when(zipped, F.col("_content")), options))
-    rows = rows.withColumn("_format", F.coalesce(named, registry.by_content(F.col("_content"), F.col("_name"), F.col("_sniffed"))))
     own = {x.format: x.text for x in registry.extractors if x.text}
-    built_in = F.when(~F.col("_format").isin(*own) if own else F.lit(True), F.col("_format"))
-    wanted = F.when(F.col("_size") <= options.max_input_bytes, F.col("_content"))
-    rows = rows.withColumn("_p", parse(F.when(wanted.isNotNull(), built_in), wanted, options))
+    wanted = F.when(~too_large, F.col("_content"))
+    asked = F.when(named.isNotNull() & (~named.isin(*own) if own else F.lit(True)), named).when(zipped, SNIFF)
+    rows = rows.withColumn("_size", size).withColumn("_p", parse(F.when(wanted.isNotNull(), asked), wanted, options))
+    rows = rows.withColumn("_format", F.coalesce(named, registry.by_content(F.col("_content"), F.col("_name"), F.col("_p.sniffed"))))
     # RTF keeps its decoded source where it can be decoded.
-    rows = rows.withColumn("_raw", F.when(F.col("_format").isin(*_TEXT), F.col("_p.text")).when(F.col("_format") == "rtf", parse(F.when(F.col("_format") == "rtf", F.lit("plainText")), F.when(F.col("_format") == "rtf", wanted), options)["text"]))
+    rows = rows.withColumn("_raw", F.when(F.col("_format").isin(*_TEXT), F.col("_p.text")).when(F.col("_format") == "rtf", F.col("_p.raw")))
     rows = _with_text(rows, options, own)
     document = F.struct(title(F.col("_url"), F.col("_name")).alias("title"), F.col("_url").alias("source_url"), F.col("_format").alias("format"), F.col("_text").alias("text"), F.col("_raw").alias("raw_text"), F.col("_segments").alias("segments"), F.col("_metadata").alias("metadata"), F.col("_warnings").alias("warnings")).cast(DOCUMENT)
     shown = base_name(F.coalesce(F.col("_name"), F.col("_url")))
-    reason, code = F.col("_p.reason"), F.col("_p.code")
+    parsed = ~F.col("_format").isin(*own) if own else F.lit(True)
+    reason, code = F.col("_p.reason"), F.when(parsed, F.col("_p.code"))
     empty = (trim_all(F.coalesce("_text", F.lit(""))) == "") & (F.size("_segments") == 0)
     failure = (
         F.when(F.col("_size") > options.max_input_bytes, error("fileTooLarge", F.concat(F.lit("File is too large: "), F.col("_size").cast("string"), F.lit(f" bytes, max: {options.max_input_bytes} bytes")), actual_bytes=F.col("_size"), max_bytes=F.lit(options.max_input_bytes)))
