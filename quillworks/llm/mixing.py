@@ -80,13 +80,14 @@ def mix_sources(df: DataFrame, targets: DataFrame, item_id: str, text: str, sour
     step = F.col("finish") / width
     mixed = mixed.withColumn("_f", F.when(step < BUCKETS, F.floor(step)).otherwise(BUCKETS + F.floor(F.log2(step / BUCKETS) * 70)).cast("bigint")).withColumn("_all", F.lit(0))
     mixed = _running(mixed, ["_all"], "_f", ["finish", "source", "item_id", "use_no"], "n_tokens", "place", most=budget).filter(F.col("place") <= budget)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.select("item_id", "source", "use_no", "n_tokens", "finish", "place").repartitionByRange(n, "place").sortWithinPartitions("place")
+    return mixed.select("item_id", "source", "use_no", "n_tokens", "finish", "place").repartitionByRange("place").sortWithinPartitions("place")
 
 
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and reached shares of each source of the target table, with its most frequent use."""
-    g = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("item_id").alias("texts"), F.max("use_no").alias("most_uses"))
-    total = mixture.agg(F.sum("n_tokens").alias("total"))
+    """Target and reached shares of each source of the target table, with its most frequent use and longest text."""
+    g = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("item_id").alias("texts"), F.max("use_no").alias("most_uses"), F.max("n_tokens").alias("longest"))
     t = targets.select("source", "target_share", "max_repeats")
-    return t.join(g, "source", "left").join(F.broadcast(total)).select("source", "target_share", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("n_tokens", F.lit(0)) / F.col("total")).alias("actual_share"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    rows = t.join(g, "source", "left").select("source", "target_share", "max_repeats", zero("n_tokens"), zero("texts"), zero("most_uses"), zero("longest"))
+    # A window over one group: it has the rows of the target table.
+    return rows.withColumn("actual_share", F.col("n_tokens") / F.sum("n_tokens").over(W.partitionBy(F.lit(0))))

@@ -186,10 +186,9 @@ def pack_items(df: DataFrame, item_id: str, text: str, capacities: dict[str, int
         raise ValueError("capacities must be positive")
     items = df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).filter("item_id is not null and text is not null")
     first = items.mapInArrow(_fill(dict(capacities), ranks), _SCHEMA)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     apart = F.when(F.col("container").isNull(), F.hash("limit_name", "shard")).otherwise(F.hash("item_id"))
     order = [F.col("container").isNull(), "limit_name", "shard", F.col("n_tokens").desc(), "item_id", "part_no"]
-    return first.withColumn("apart", apart).repartition(n, "apart").drop("apart").sortWithinPartitions(*order).mapInArrow(_refill, _SCHEMA).drop("shard")
+    return first.withColumn("apart", apart).repartition("apart").drop("apart").sortWithinPartitions(*order).mapInArrow(_refill, _SCHEMA).drop("shard")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

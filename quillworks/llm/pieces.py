@@ -68,7 +68,13 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[str
                 near = q
         found.append((p, kind))
         last = p
-    return [p for p, _ in found], [k for _, k in found]
+    # Where a cluster of marks left no place for a cut, bare positions inside it.
+    step, out, last = limit - overlap, [], 0
+    for p, kind in found:
+        out += [(q, "character") for q in range(last + step, p, step)]
+        out.append((p, kind))
+        last = p
+    return [p for p, _ in out], [k for _, k in out]
 
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -106,9 +112,6 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         c = cost[lo:j] + BALANCE * np.square((size - even) / limit)
         i = int(c.argmin())
         cost[j], back[j] = c[i] + pen[j] + PIECE_COST, lo + i
-    if not np.isfinite(cost[-1]):  # a character with its marks is longer than the limit itself
-        step = limit - overlap
-        return [(a, min(a + limit, n), "end" if a + limit >= n else "character") for a in range(0, max(1, n - overlap), step)]
     out, j = [], len(p) - 1
     while j > 0:
         i = int(back[j])
@@ -136,8 +139,8 @@ def _pieces(keys: list[str], limit: int, overlap: int):
 def split_items(df: DataFrame, keys: list[str], text: str, limit: int, overlap: int, only_oversized: bool = False) -> DataFrame:
     """Pieces of each text: ``keys + piece_no, start_pos, end_pos, ends_at, text``.
 
-    ``only_oversized`` leaves out the texts within the limit.  Only texts above the limit are
-    shuffled (to count a repeated key once, and to spread long texts) and sent to Python.
+    ``only_oversized`` leaves out the texts within the limit, which then aren't shuffled.  Only texts above the
+    limit are sent to Python; the shuffle counts a repeated key once and spreads long texts.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
