@@ -89,7 +89,7 @@ def segment(costs: list[float], penalty: float = PENALTY) -> list[int]:
         alive.append((t, 0.0))
         s, w = min(alive, key=lambda x: (best[x[0]] + x[1], x[0]))
         best[t + 1], back[t + 1] = best[s] + w + penalty, s
-        alive = [(s, w) for s, w in alive if best[s] + w <= best[t + 1]]
+        alive = [(s, w) for s, w in alive if best[s] + w < best[t + 1]]
     starts, t = [], n
     while t:
         t = back[t]
