@@ -1,10 +1,11 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults, and jobs that can be cancelled from elsewhere."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "quillworks", master: str | None = None) -> SparkSession:
@@ -21,18 +22,16 @@ def get_session(app: str = "quillworks", master: str | None = None) -> SparkSess
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder named in ``spark.checkpoint.dir``.
-
-    The setting is read from the session.  Only where the session has none (tests on one
-    machine) a temporary folder is used; a cluster must name one that all executors share.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="quillworks-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Actions inside carry the tag; ``cancel`` from another thread ends them with an error, between and within stages."""
+    sc = spark.sparkContext
+    sc.addJobTag(tag)
+    try:
+        yield
+    finally:
+        sc.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -134,3 +134,38 @@ def test_model_rules_and_json(spark):
     cases = [(j(), True), (j(title=" "), False), (j(blocks=[]), False), ("{", False), (j(blocks=[{"id": "1", "kind": {"type": "heading", "level": 9}, "text": "a"}]), False), (j(blocks=[{"id": "1", "kind": {"type": "quote"}, "text": "a"}] * 2), False), (j(blocks=[{"id": "", "kind": {"type": "quote"}, "text": "a"}]), False), (j(blocks=[{"id": "1", "kind": {"type": "quote"}, "text": " "}]), False), (None, False)]
     got = spark.createDataFrame(cases, "j string, ok boolean").select("ok", from_json(F.col("j")).alias("a")).collect()
     assert [r.a is not None for r in got] == [ok for _, ok in cases] and got[0].a.metadata == {} and got[0].a.text == "a"
+
+
+def test_running_work_can_be_cancelled(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillworks.session import cancel, cancellable
+
+    ended = []
+
+    def work():
+        with cancellable(spark, "slow-pages"):
+            try:
+                spark.range(8, numPartitions=8).select(F.pandas_udf(_slow, "bigint")("id").alias("x")).agg(F.sum("x")).collect()
+            except Exception as e:
+                ended.append(str(e))
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(120):
+        time.sleep(0.5)
+        cancel(spark, "slow-pages")
+        if not t.is_alive():
+            break
+    t.join(60)
+    assert ended and "cancel" in ended[0].lower()
+
+
+def _slow(x):
+    import time
+
+    time.sleep(90)
+    return x
