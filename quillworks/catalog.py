@@ -17,10 +17,10 @@ from quillworks.functions.subtitles import cues, seconds, segments
 from quillworks.functions.text import join_paragraphs, normalize, normalize_cells
 from quillworks.functions.titles import extension, strip_site, title
 from quillworks.operators.kernels import parse
-from quillworks.options import ExtractOptions
+from quillworks.options import ExtractOptions, WebOptions
 from quillworks.plans.articles import extract_articles, from_json, render_blocks, to_json, validate_article
 from quillworks.plans.extract import errors_by_code as count_errors, extract, warnings_by_code as count_warnings
-from quillworks.plans.registry import Registry
+from quillworks.plans.registry import Extractor, Registry
 
 Q = Callable[[SparkSession, str], DataFrame]
 FLAT, PLAIN = ExtractOptions(preserve_paragraphs=False), ExtractOptions(normalize_whitespace=False)
@@ -160,6 +160,28 @@ def article_blocks(spark: SparkSession, d: str) -> DataFrame:
     return extract_articles(rows).select("article_id", "article.title", F.size("article.blocks").cast("bigint").alias("blocks"), F.array_join(F.transform("article.blocks", lambda b: F.concat(b["kind"], F.coalesce(b["level"].cast("string"), F.lit("")))), ",").alias("kinds"), "article.text", F.col("article.metadata")["language"].alias("language"), "error.code")
 
 
+def article_gates(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each remainder of the number: addresses, bytes and bodies that the gates let through or refuse."""
+    b = lambda x: F.unhex(F.lit(x))
+    body = F.concat(F.lit("<html><body><article><p>Words of page "), F.col("doc_id").cast("string"), F.lit(", enough of them to be an article.</p></article></body></html>"))
+    good = F.encode(body, "UTF-8")
+    short, menu = F.encode(F.lit("<article><p>Too short.</p></article>"), "UTF-8"), F.encode(F.lit("<nav><a href='x'>Home of the site</a></nav><footer>Words at the foot of it, more than forty of letters</footer>"), "UTF-8")
+    pages = [good, good, good, b(""), b("FF00FE00"), short, menu, F.concat(b("FFFE"), F.encode(body, "UTF-16LE")), F.concat(b("EFBBBF"), good), F.concat(good, F.lit(" " * 5000).cast("binary")), F.concat(good, b("E9"))]
+    urls = ["https://h.example/a", "ftp://h.example/a", None, *["HTTP://h.example"] * 8]
+    at = (F.pmod("doc_id", F.lit(len(pages))) + 1).cast("int")
+    rows = _t(spark, d, "documents").select("doc_id", F.element_at(F.array(*(F.lit(u) for u in urls)), at).alias("url"), F.element_at(F.array(*pages), at).alias("html"))
+    return extract_articles(rows, options=WebOptions(max_input_bytes=4000)).select("doc_id", "article.title", "article.text", "error.code", "error.max_bytes")
+
+
+def own_format(spark: SparkSession, d: str) -> DataFrame:
+    """An extractor of one's own, asked before the default ones."""
+    own = Extractor("log", ("log", "txt"), lambda content, name: F.concat(name, F.lit(": "), F.octet_length(content).cast("string")))
+    registry = Registry((own, *Registry().extractors))
+    suffix = F.element_at(F.array(*(F.lit(x) for x in ("log", "txt", "text", "zzz"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    rows = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("x."), suffix).alias("file_name"), F.encode("url", "UTF-8").alias("content"))
+    return extract(rows, registry=registry).select("doc_id", "document.format", "document.text", "error.code", "error.file_name")
+
+
 def _model(rows: DataFrame) -> DataFrame:
     """web_articles as articles of the model: kinds of heading:N parted into kind and level."""
     kind = lambda b: F.split(b["kind"], ":")
@@ -212,7 +234,7 @@ def queries() -> dict[str, Q]:
         "timestamp_seconds": timestamp_seconds, "dispatch": dispatch, "size_limit": size_limit, "errors_by_code": errors_by_code, "document_title": document_title, "registry_formats": registry_formats,
         "decode_utf16": _decoded("UTF-16"), "decode_utf8": _decoded("UTF-8"), "decode_pages": decode_pages,
         "decode_cascade": decode_cascade, "extract_documents": extract_documents, "extract_rtf": extract_rtf,
-        "article_pages": article_pages, "article_blocks": article_blocks, "article_text": article_text, "article_rules": article_rules, "article_json": article_json, "site_suffix": site_suffix, "join_blocks": join_blocks, "warnings_by_code": warnings_by_code,
+        "article_pages": article_pages, "article_blocks": article_blocks, "article_gates": article_gates, "own_format": own_format, "article_text": article_text, "article_rules": article_rules, "article_json": article_json, "site_suffix": site_suffix, "join_blocks": join_blocks, "warnings_by_code": warnings_by_code,
     } | catalog_containers.queries()
 
 
@@ -402,4 +424,6 @@ def oracle_sql() -> dict[str, str]:
         "warnings_by_code": f"select 'malformedSubtitleTimestamp' as code, count(*) as count from (select * from ({_sql_cues('srt')}) union all select * from ({_sql_cues('vtt')})) where start_time is null or end_time is null group by all having count(*) > 0",
         "registry_formats": "select * from (values " + ", ".join("({}, '{}', '{}')".format(*x.split(" ")) for x in _FORMATS.split("|")) + ") as t(position, format, extension)",
         "markdown_fences": _sql_fences(), "decode_pages": _sql_decode_pages(), "decode_cascade": _sql_decode_cascade(), "extract_documents": _sql_documents(), "article_blocks": _sql_article_blocks(),
+        "article_gates": "with d as (select doc_id, doc_id % 11 as k, 'Words of page ' || doc_id || ', enough of them to be an article.' as t from documents) select doc_id, case when k in (0, 7, 8, 10) then 'h.example' end as title, case when k in (0, 7, 8, 10) then t end as text, [null, 'invalidSourceURL', 'invalidSourceURL', 'unreadableArticle', 'unreadableEncoding', 'unreadableArticle', 'unreadableArticle', null, null, 'inputTooLarge', null][k + 1] as code, case when k = 9 then 4000::bigint end as max_bytes from d",
+        "own_format": "with d as (select doc_id, url, ['log', 'txt', 'text', 'zzz'][doc_id % 4 + 1] as x from documents) select doc_id, case when x in ('log', 'txt') then 'log' when x = 'text' then 'plainText' end as format, case when x in ('log', 'txt') then 'x.' || x || ': ' || octet_length(coalesce(url, '')::blob) when x = 'text' then url end as text, case when x = 'zzz' then 'unsupportedFileType' end as code, case when x = 'zzz' then 'x.zzz' end as file_name from d",
     } | catalog_containers.oracle_sql()
