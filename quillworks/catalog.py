@@ -37,11 +37,11 @@ def _once(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
 
 def _raw(fmt: str, make: Callable[[Column], Column], out: str = "text") -> Q:
     """A column function over the sources of one format."""
-    return lambda spark, d: _once(spark, d, "extracted_docs", "document_id", "doc_format", "raw_text").filter((F.col("doc_format") == fmt) & F.col("raw_text").isNotNull()).select("document_id", make(F.col("raw_text")).alias(out))
+    return lambda spark, d: _t(spark, d, "extracted_docs").filter((F.col("doc_format") == fmt) & F.col("raw_text").isNotNull()).select("document_id", make(F.col("raw_text")).alias(out)).dropDuplicates(["document_id"])
 
 
 def _texts(make: Callable[[Column], Column]) -> Q:
-    return lambda spark, d: _once(spark, d, "extracted_docs", "document_id", "text").select("document_id", make(F.col("text")).alias("text"))
+    return lambda spark, d: _t(spark, d, "extracted_docs").select("document_id", make(F.col("text")).alias("text")).dropDuplicates(["document_id"])
 
 
 def _cues(fmt: str) -> Q:
@@ -116,24 +116,28 @@ _SUFFIX = {"plainText": "txt", "markdown": "md", "srt": "srt", "vtt": "vtt", "ht
 
 
 def _files(spark: SparkSession, d: str, *formats: str) -> DataFrame:
-    """The sources of these formats as files."""
+    """The sources of these formats as files, some twice.
+
+    What is made of them is counted once afterwards: the work stays in the tasks of the scan, and
+    only its results are shuffled.
+    """
     suffix = F.element_at(F.create_map(*(F.lit(x) for pair in _SUFFIX.items() for x in pair)), F.col("doc_format"))
-    rows = _once(spark, d, "extracted_docs", "document_id", "doc_format", "title", "raw_text").filter(F.col("raw_text").isNotNull() & F.col("doc_format").isin(*formats))
+    rows = _t(spark, d, "extracted_docs").filter(F.col("raw_text").isNotNull() & F.col("doc_format").isin(*formats))
     return rows.select("document_id", F.concat("title", F.lit("."), suffix).alias("file_name"), F.encode("raw_text", "UTF-8").alias("content"))
 
 
 def extract_documents(spark: SparkSession, d: str) -> DataFrame:
     """Sources through the whole pipeline; what RTF gives is in extract_rtf."""
     done = extract(_files(spark, d, "plainText", "markdown", "srt", "vtt", "html"))
-    return done.select("document_id", "document.format", "document.title", "document.text", F.size("document.segments").cast("bigint").alias("segments"), "document.metadata", "error.code")
+    return done.select("document_id", "document.format", "document.title", "document.text", F.size("document.segments").cast("bigint").alias("segments"), "document.metadata", "error.code").dropDuplicates(["document_id"])
 
 
 def extract_rtf(spark: SparkSession, d: str) -> DataFrame:
-    return extract(_files(spark, d, "rtf")).select("document_id", "document.format", "document.text", F.length("document.raw_text").alias("source_characters"), "error.code")
+    return extract(_files(spark, d, "rtf")).select("document_id", "document.format", "document.text", F.length("document.raw_text").alias("source_characters"), "error.code").dropDuplicates(["document_id"])
 
 
 def warnings_by_code(spark: SparkSession, d: str) -> DataFrame:
-    return count_warnings(extract(_files(spark, d, "srt", "vtt")))
+    return count_warnings(extract(_files(spark, d, "srt", "vtt")).dropDuplicates(["document_id"]))
 
 
 def article_pages(spark: SparkSession, d: str) -> DataFrame:
