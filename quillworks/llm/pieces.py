@@ -101,17 +101,21 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     s = np.array(s)
     k = max(2, -(-(n - overlap) // (limit - overlap)))
     even = (n + (k - 1) * overlap) / k
-    cost, back, lo = np.full(len(p), np.inf), np.zeros(len(p), dtype=np.int64), 0
-    cost[0] = 0.0
-    for j in range(1, len(p)):
-        while lo < j and p[j] - s[lo] > limit:
-            lo += 1
-        if lo == j:
-            continue
-        size = p[j] - s[lo:j]
-        c = cost[lo:j] + BALANCE * np.square((size - even) / limit)
-        i = int(c.argmin())
-        cost[j], back[j] = c[i] + pen[j] + PIECE_COST, lo + i
+    for starts in (s, np.maximum(0, p - overlap)):  # bare starts only where marks or words leave no way within the limit
+        cost, back, lo = np.full(len(p), np.inf), np.zeros(len(p), dtype=np.int64), 0
+        cost[0] = 0.0
+        for j in range(1, len(p)):
+            while lo < j and p[j] - starts[lo] > limit:
+                lo += 1
+            if lo == j:
+                continue
+            size = p[j] - starts[lo:j]
+            c = cost[lo:j] + BALANCE * np.square((size - even) / limit)
+            i = int(c.argmin())
+            cost[j], back[j] = c[i] + pen[j] + PIECE_COST, lo + i
+        s = starts
+        if np.isfinite(cost[-1]):
+            break
     out, j = [], len(p) - 1
     while j > 0:
         i = int(back[j])
