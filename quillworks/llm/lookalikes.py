@@ -46,6 +46,8 @@ UNSEEN = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>"}
 BLOCKS = ((0x00, 0x24F), (0x370, 0x52F), (0x2010, 0x2052), (0x3001, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 #: Jamo that follow a leading one, and those that close a syllable.
 _VOWELS, _FINALS = (0x1161, 0x1175), (0x11A8, 0x11C2)
+#: Places for the letters that one code point stands for (7 at most; tested).
+PLACES = 64
 
 
 def _map(ch: str) -> str:
@@ -139,8 +141,9 @@ _ENDS = "(?<=[ \\n、。])|(?<=[\\u3400-\\u9fff])(?![\\u3400-\\u9fff])"
 def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rows, comp, _ = _tables()
     f = spark.createDataFrame
-    forms = ", ".join(f"as_{s} string" for s in SCRIPTS)
-    return F.broadcast(f(rows, f"ch string, sub int, to string, ccc int, joins boolean, bit int, clear int, {forms}")), F.broadcast(f(comp, "parts string, whole string"))
+    # The forms are a letter each, so one string has them in the order of the scripts.
+    rows = [(*r[:7], r[7] and "".join(r[7:])) for r in rows]
+    return F.broadcast(f(rows, "ch string, sub int, to string, ccc int, joins boolean, bit int, clear int, forms string")), F.broadcast(f(comp, "parts string, whole string"))
 
 
 def _syllable(parts: Column) -> Column:
@@ -156,25 +159,26 @@ def _syllable(parts: Column) -> Column:
 def normal_chunks(chunks: DataFrame) -> DataFrame:
     """``cid, normal`` of rows (cid, home, chunk) with different cid.
 
-    Code points carry the digest of their chunk, never the chunk, so a long chunk costs its length.
+    Code points carry the digest of their chunk, never the chunk, so a long chunk costs its length.  They take many
+    times the bytes of the chunks, so they are spread anew once they are there: what a task sorts is sized by them.
     """
     table, comp = _frames(chunks.sparkSession)
-    cps = chunks.select("cid", "home", F.posexplode(F.split("chunk", "")).alias("pos", "ch")).filter("ch <> ''")
+    cps = chunks.select("cid", "home", F.posexplode(F.split("chunk", "")).alias("pos", "ch")).filter("ch <> ''").repartition("cid")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    cps = cps.join(table, "ch", "left").select("cid", "home", "pos", zero("sub").alias("sub"), F.coalesce("to", "ch").alias("to"), zero("ccc").alias("ccc"), F.coalesce("joins", F.lit(False)).alias("joins"), zero("bit").alias("bit"), zero("clear").alias("clear"), *(f"as_{s}" for s in SCRIPTS)).filter("to <> ''")
-    w = W.partitionBy("cid").orderBy("pos", "sub")
+    # The rows that are sorted are narrow: a place, the letter, and its forms with the one of the text's script behind them.
+    at = {s: k + 1 for k, s in enumerate(SCRIPTS)}
+    home = F.create_map(*(F.lit(x) for pair in at.items() for x in pair))[F.col("home")]
+    cps = cps.join(table, "ch", "left").select("cid", (F.col("pos").cast("bigint") * PLACES + zero("sub")).alias("pos"), F.coalesce("to", "ch").alias("to"), zero("ccc").alias("ccc"), F.coalesce("joins", F.lit(False)).alias("joins"), zero("bit").alias("bit"), zero("clear").alias("clear"), F.concat("forms", F.substr("forms", home, F.lit(1))).alias("forms")).filter("to <> ''")
+    w = W.partitionBy("cid").orderBy("pos")
     cps = cps.withColumn("unit", F.sum((~F.col("joins")).cast("int")).over(w)).withColumn("word", F.sum(((F.col("bit") == 0) & ~F.col("joins")).cast("int")).over(w))
-    seen = F.bit_or("clear").over(W.partitionBy("cid", "word"))
+    cps = cps.withColumn("seen", F.bit_or("clear").over(W.partitionBy("cid", "word")))
     # One script alone decides; none: the text's script; several: each letter's Latin double.
-    script = F.when(F.col("seen") == 0, F.col("home"))
+    script = F.when(F.col("seen") == 0, len(at) + 1)
     for s, (_, bit, _) in SCRIPTS.items():
-        script = script.when(F.col("seen") == bit, s)
-    cps = cps.withColumn("seen", seen).withColumn("script", F.coalesce(script, F.lit("L")))
-    to = F.when(F.col("as_L").isNull(), F.col("to"))
-    for s in SCRIPTS:
-        to = to.when(F.col("script") == s, F.col(f"as_{s}"))
+        script = script.when(F.col("seen") == bit, at[s])
+    to = F.coalesce(F.substr("forms", script.otherwise(at["L"]), F.lit(1)), "to")
     # A letter and its marks, the marks in order of their class, are one unit.
-    units = cps.groupBy("cid", "unit").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", to.alias("to")))).alias("m"))
+    units = cps.groupBy("cid", "unit").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", to.alias("to")))).alias("m"))
     parts = F.array_join(F.transform("m", lambda x: x["to"]), "")
     units = units.withColumn("parts", parts).withColumn("more", F.expr("if(size(m) > 2, array_join(transform(slice(m, 3, size(m)), x -> x.to), ''), null)")).withColumn("two", F.expr("if(size(m) > 2, concat(m[0].to, m[1].to), null)"))
     units = units.join(comp, "parts", "left").join(comp.select(F.col("parts").alias("two"), F.col("whole").alias("first")), "two", "left")
@@ -209,9 +213,10 @@ def _rebuilt(odd: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, normal`` of rows (keys, text, home), which are read three times."""
     pieces = F.split("text", _ENDS)
     chunks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), p.alias("chunk"))), lambda x: (x["chunk"] != "") & _is_odd(x["chunk"], F.col("home")))
-    each = odd.select(*keys, "home", F.explode(chunks).alias("x")).select(*keys, "home", "x.*").withColumn("cid", F.md5(F.concat("home", "chunk")))
-    normal = normal_chunks(each.select("cid", "home", "chunk").dropDuplicates(["cid"]))
-    back = each.drop("home", "chunk").join(normal, "cid", "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))
+    each = odd.select(*keys, "home", F.explode(chunks).alias("x")).select(*keys, "home", "x.*")
+    cid = F.unhex(F.md5(F.concat("home", "chunk"))).alias("cid")
+    normal = normal_chunks(each.select("home", "chunk").distinct().select(cid, "home", "chunk"))
+    back = each.select(*keys, "at", cid).join(normal, "cid", "left").groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.coalesce("normal", F.lit("")).alias("normal")))).alias("n"))
     # The pieces between the odd ones, joined to runs, and the odd ones' normal forms by turns.
     joined = F.expr("""if(n is null, text, concat(
         array_join(transform(n, (x, k) -> concat(array_join(slice(pieces, if(k = 0, 0, n[k - 1].at + 1) + 1, x.at - if(k = 0, 0, n[k - 1].at + 1)), ''), x.normal)), ''),

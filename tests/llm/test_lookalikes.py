@@ -3,7 +3,10 @@ import unicodedata as U
 import re
 import sys
 
-from quillworks.llm.lookalikes import _patterns, _tables, normalize_texts, same_looking
+from pyspark.sql import functions as F
+
+from quillworks.llm import lookalikes
+from quillworks.llm.lookalikes import PLACES, _patterns, _tables, normalize_texts, same_looking
 
 SAME = [
     ["The oak café", "Thе оak café", "The oak cafe\u0301", "Ｔｈｅ oak café", "The\u00a0oak\u2009café", "T\u200bhe oak\u2060 caf\u00ade\u0301"],
@@ -56,3 +59,23 @@ def test_pairs_and_edge_cases(spark):
     want = {("d", a, b) for a, x in enumerate(SAME[0] + SAME[0][:1] * 3) for b, y in enumerate(SAME[0] + SAME[0][:1] * 3) if a < b and x != y} | {("d", 60, 61)}
     assert got == want
     assert same_looking(df.limit(0), "tbl", "id", "t").count() == 0
+
+
+def test_tasks_are_sized_by_code_points(spark, monkeypatch):
+    """Chunks of few compressed bytes but many code points don't end up in one task, where they would be sorted at once."""
+    original, tasks = lookalikes.normal_chunks, []
+
+    def watched(chunks):
+        out = original(chunks)
+        tasks.extend(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.sum(F.length("normal")).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(lookalikes, "normal_chunks", watched)
+    texts = spark.range(1500).select("id", F.concat(F.repeat(F.lit("e\u0301"), 400), F.col("id").cast("string")).alias("t"))
+    got = normalize_texts(texts, ["id"], "t")
+    assert got.filter(F.col("normal") == F.concat(F.repeat(F.lit("é"), 400), F.col("id").cast("string"))).count() == 1500
+    assert sum(tasks) > 600_000 and max(tasks) < 0.5 * sum(tasks), tasks
+
+
+def test_places_hold_every_mapping():
+    assert max(i for _, i, *_ in _tables()[0]) < PLACES
